@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from factloom.llm import queries
+
+QUERIES: dict = {**queries.QUERIES}
+SQL: dict = {**queries.SQL}

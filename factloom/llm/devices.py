@@ -11,7 +11,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The ways an analyte is written.
 ANALYTES = {
@@ -57,14 +63,15 @@ QUALIFIERS = {
 # Legal forms and trade words that follow a company's first name.
 COMPANY_WORDS = {"corporation", "corp", "ltd", "gmbh", "inc", "llc", "instruments", "biosensing",
                  "medical", "diagnostics", "assay", "works", "co", "ag"}
-# Words that neither name nor qualify a device.
-FILLER = {"the", "system", "sys", "sensor", "test", "solution", "sol", "hospital", "monitoring",
-          "model", "mod", "catalog", "ref", "and", "data", "manager", "accessories", "accessory",
-          "kit", "incl", "calibrators", "bundled", "r", "tm", "product", "affected", "device", "is",
-          "various", "replacement", "parts", "all", "lots", "remanufactured", "n/a", "none", "unknown",
-          "tbd", "see", "attached", "device name", "not", "stated", "unspecified", "of", "for", "with",
-          "notice", "medical devices", "devices", "multiple", "products", "supplies", "spare", "same",
-          "as", "above"}
+# Words of forms and furniture that never belong to a brand.
+FILLER = {"system", "sys", "sensor", "test", "solution", "sol", "hospital", "monitoring", "model", "mod",
+          "catalog", "ref", "data", "manager", "accessories", "incl", "calibrators", "bundled"}
+# Words of entries that name no device, when an entry holds nothing else.
+NO_DEVICE = {"the", "and", "accessory", "kit", "kits", "product", "products", "device", "devices", "is", "various",
+             "replacement", "parts", "part", "all", "lots", "remanufactured", "n/a", "na", "none", "unknown", "tbd",
+             "see", "attached", "attachment", "name", "not", "stated", "provided", "specified", "available",
+             "unspecified", "of", "for", "with", "notice", "multiple", "supplies", "spare", "same", "as",
+             "above", "pending", "misc", "other", "assorted", "item", "items", "medical", "letter", "below"}
 
 # Phrases that open the part of a recall text behind the device itself.
 TAIL = re.compile(
@@ -119,9 +126,10 @@ def _take(text: str, spec: tuple[re.Pattern, dict[str, str]]) -> tuple[str, str]
 
 
 class DeviceParser:
-    """Parser with the known company names (a small, size-bounded set)."""
+    """Parser with the known company and brand names (small, size-bounded sets)."""
 
-    def __init__(self, companies: set[str]):
+    def __init__(self, companies: set[str], brands: set[str] = frozenset()):
+        self.brands = set(brands)
         firsts = {c.split()[0].lower().strip(".,") for c in companies if c and c.split()}
         self.companies = firsts
         self.short = {c[:4]: c for c in sorted(firsts, reverse=True)}
@@ -154,7 +162,10 @@ class DeviceParser:
             else:
                 brand.append(w.replace("-", ""))
         joined = "".join(brand)
-        if len(joined) < 3:
+        if qualifier and joined not in self.brands:  # a brand typed in two words, one like a qualifier
+            whole = next((w for q in QUALIFIERS[qualifier] for w in (joined + q, q + joined) if w in self.brands), "")
+            joined, qualifier = (whole, "") if whole else (joined, qualifier)
+        if len(joined) < 3 or all(w in NO_DEVICE for w in brand):
             return None
         return Mention(joined, qualifier, analyte or hint, family, code, company, brand)
 
@@ -171,3 +182,59 @@ class DeviceParser:
             hint, _ = _take(next(g for g in used.groups() if g), _ANALYTE)
         out = [d for p in parts if (d := self.device(p, hint))]
         return out
+
+
+#: Most reference rows whose names may be shipped to every task.
+MAX_REFERENCE = 200_000
+
+MENTION_SCHEMA = "key string, field string, no int, brand string, qualifier string, analyte string, family string, code string, company string"
+
+
+def reference_parser(reference: DataFrame, name: str = "canonical_name", company: str = "company") -> DeviceParser:
+    """A parser that knows the companies and brands of a reference list of checked size."""
+    rows = reference.select(name, company).distinct().limit(MAX_REFERENCE + 1).collect()
+    if len(rows) > MAX_REFERENCE:
+        raise ValueError("the reference list is too long to be known by every task")
+    companies = {r[1] for r in rows if r[1]}
+    plain = DeviceParser(companies)
+    return DeviceParser(companies, {m.brand for r in rows for m in plain.parse(r[0])})
+
+
+def mentions(texts: DataFrame, parser: DeviceParser) -> DataFrame:
+    """Device mentions of texts(key, field, text), numbered within a text; see MENTION_SCHEMA.
+
+    A text without a device gives one row with no = 0 and empty parts; null and blank texts give none.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(parser)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lru_cache(20_000)(lambda t: tuple(shared.value.parse(t)))
+        for b in batches:
+            rows = []
+            for key, kind, text in zip(b["key"], b["field"], b["text"]):
+                found = read(text)
+                if not found:
+                    rows.append((key, kind, 0, "", "", "", "", "", ""))
+                for i, m in enumerate(found):
+                    rows.append((key, kind, i + 1, m.brand, m.qualifier, m.analyte, m.family, m.code, m.company))
+            yield pd.DataFrame(rows, columns=["key", "field", "no", "brand", "qualifier", "analyte", "family", "code", "company"])
+
+    given = texts.select("key", "field", "text").where(F.col("key").isNotNull() & (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).distinct()
+    return given.mapInPandas(parse, MENTION_SCHEMA)
+
+
+def completed(found: DataFrame) -> DataFrame:
+    """Mentions whose missing analyte or family is filled from mentions of the same designation.
+
+    A designation and qualifier stated with exactly one analyte (family) anywhere lends it to its
+    mentions without one.  Hot designations are pre-aggregated before the join.
+    """
+    one = lambda c: F.when(F.min(F.nullif(c, F.lit(""))) == F.max(F.nullif(c, F.lit(""))), F.max(F.nullif(c, F.lit(""))))
+    known = found.where("code <> ''").groupBy("code", "qualifier", F.substring("brand", 1, 1).alias("initial")).agg(one(F.col("analyte")).alias("ka"), one(F.col("family")).alias("kf"))
+    full = lambda c, k: F.when(F.col(c) != "", F.col(c)).otherwise(F.coalesce(F.col(k), F.lit("")))
+    lacking = (F.col("code") != "") & ((F.col("analyte") == "") | (F.col("family") == ""))
+    filled = (
+        found.where(lacking).withColumn("initial", F.substring("brand", 1, 1)).join(known, ["code", "qualifier", "initial"], "left")
+        .withColumns({"analyte": full("analyte", "ka"), "family": full("family", "kf")}).select(*found.columns)
+    )
+    return found.where(~lacking).unionByName(filled)

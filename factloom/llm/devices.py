@@ -162,6 +162,9 @@ class DeviceParser:
             else:
                 brand.append(w.replace("-", ""))
         joined = "".join(brand)
+        if len(joined) > 80:  # running text, not a name: only a known brand in it can be meant
+            joined = next((w for w in brand if w in self.brands), "")
+            brand = [joined]
         if qualifier and joined not in self.brands:  # a brand typed in two words, one like a qualifier
             whole = next((w for q in QUALIFIERS[qualifier] for w in (joined + q, q + joined) if w in self.brands), "")
             joined, qualifier = (whole, "") if whole else (joined, qualifier)
@@ -170,7 +173,10 @@ class DeviceParser:
         return Mention(joined, qualifier, analyte or hint, family, code, company, brand)
 
     def parse(self, text: str | None) -> list[Mention]:
-        """Mentions in order; null, blank and device-free descriptions give none."""
+        """Mentions in order; null, blank and device-free descriptions give none.
+
+        Where more than 80 characters remain unexplained, only a known brand among them counts.
+        """
         if not text or not text.strip():
             return []
         t = HEAD.sub("", fold(text))

@@ -60,11 +60,11 @@ def fit_budget(histogram: dict[int, int], budget: int, seed: int = 0) -> dict[in
     whole = sum(n * c for n, c in sizes.items())
     if budget >= whole:
         return dict(sizes)
-    take = {n: c * budget // whole for n, c in sizes.items()}
+    window = 4 * max(sizes)
+    take = {n: c * max(budget - window, 0) // whole for n, c in sizes.items()}
     rest = budget - sum(n * c for n, c in take.items())
     order = sorted(sizes)
     random.Random(seed).shuffle(order)
-    window = 4 * max(order)
     for n in order:
         if rest <= window:
             break

@@ -61,7 +61,7 @@ def test_editor_on_held_out_words():
 
 def test_perceptron_learns():
     m = Perceptron().fit([([["a"], ["b"]], 1), ([["c"], ["d"]], 0)] * 5)
-    assert m.score(["b"]) > m.score(["a"]) and m.score(["c"]) > m.score(["d"])
+    assert m.score(["b"]) > m.score(["a"]) and m.score(["c"]) >= m.score(["d"])
 
 
 def test_budget_is_hit_exactly():
@@ -75,7 +75,7 @@ def test_budget_is_hit_exactly():
         got = fit_budget(h, budget)
         total = sum(n * c for n, c in got.items())
         assert all(c <= h[n] for n, c in got.items()) and total <= budget
-        if max(h) * 4 >= budget and min(h.values()) * budget < sum(n * c for n, c in h.items()):
+        if max(h) * 4 >= budget:
             assert total == max(s for s in sums if s <= budget)
     assert fit_budget({}, 5) == {} and fit_budget({3: 2}, 0) == {}
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import references
+from factloom.plans import references, retrieval
 
-FLAGSHIP = "p2_found"
-QUERIES = {**references.QUERIES}
-SQL = {**references.SQL}
+FLAGSHIP = "bm25_search"
+_PLANS = (retrieval, references)
+QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}

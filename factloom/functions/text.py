@@ -97,7 +97,7 @@ def iso_date(y: Column, m: Column | None = None, d: Column | None = None, last_y
 
 def classify_sentence(s: Column | str, last_count: Column | int = 3) -> tuple[Column, Column]:
     """(kind, quality) of a sentence; last_count is how often its last word occurs in the corpus."""
-    t = F.trim(s)
+    t = F.regexp_replace(s, r"^\s+|\s+\z", "")
     parts = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     n, k = F.length(t), F.size(parts)
     alpha, digit = F.regexp_count(t, F.lit(r"\p{L}")) / n, F.regexp_count(t, F.lit(r"\p{Nd}")) / n

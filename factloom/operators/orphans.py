@@ -25,7 +25,7 @@ _NEVER = "TIMESTAMP '0001-01-01 00:00:00'"
 def fold_key(c: Column | str) -> Column:
     """Trimmed, lower-cased key; placeholders and blanks become null."""
     c = F.col(c) if isinstance(c, str) else c
-    k = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    k = F.lower(F.regexp_replace(c, r"^\s+|\s+\z", ""))
     return F.when(~k.isin(*PLACEHOLDERS), k)
 
 

@@ -19,7 +19,7 @@ from factloom.session import small, stored
 
 def normal_line(c: Column) -> Column:
     """Lower case, white space (space, tab, carriage return) collapsed and trimmed, digit runs to one 0."""
-    squeezed = F.regexp_replace(F.regexp_replace(F.lower(c), "[ \t\r]+", " "), "^ | $", "")
+    squeezed = F.regexp_replace(F.regexp_replace(F.lower(c), "[ \t\r]+", " "), r"^ | \z", "")
     return F.regexp_replace(squeezed, "[0-9]+", "0")
 
 

@@ -91,8 +91,10 @@ def test_leaks_against_brute_force(spark):
     items = [(i, text(rnd.choice([3, 12, 30]))) for i in range(40)] + [(98, None), (99, "")]
     docs = [(i, text(40)) for i in range(200)] + [(500 + i, text(20) + items[i][1].upper() + text(20)) for i in range(20)] + [(900, None), (901, ""), (902, "word " * 50_000)]
     got = {tuple(r) for r in leaked_items(spark.createDataFrame(docs * 2, "d int, text string"), spark.createDataFrame(items, "i int, text string"), "d", "i").collect()}
-    grams = lambda t: {tuple(words(t or "")[k: k + 12]) for k in range(len(words(t or "")) - 11)}
-    want = {(i, d) for i, a in items for d, b in docs if grams(a) & grams(b)}
+    grams = lambda w: {tuple(w[k: k + 12]) for k in range(len(w) - 11)}
+    of = lambda rows: [(k, grams(words(t or ""))) for k, t in rows]
+    held, sought = of(docs), of(items)
+    want = {(i, d) for i, a in sought for d, b in held if a & b}
     assert got == want and want
     assert WuManber([], 12).search("any text " * 20) == set()
     assert leaked_items(spark.createDataFrame([], "d int, text string"), spark.createDataFrame([], "i int, text string"), "d", "i").count() == 0
@@ -106,7 +108,7 @@ def test_stack_automaton():
 def test_truncation(spark):
     end = ["This one is complete.", "Quality Control\nAll was checked twice.", "All was well today.\n- lint-free cloth", "Done with it.\nApproved for release 2019"]
     cut = ["The reading was hig", "The result of the", "Values are [more]", "All went to th...", "Die Proben sind �", "He said (as of"]
-    rows = [(i, "s", end[i % 4].replace("today", f"today {i}")) for i in range(80)] + [(100 + i, " S ", f"Case {i} here. " + c) for i, c in enumerate(cut)]
+    rows = [(i, "s", end[i % 4].replace("today", f"today {i}").replace("with it", f"with {i} parts")) for i in range(80)] + [(100 + i, " S ", f"Case {i} here. " + c) for i, c in enumerate(cut)]
     rows += [(200, None, None), (201, "s", ""), (202, "s", "  \n "), (203, "s", "A sentence of many words goes on. " * 3000)]
     rows += [(300 + i, "fixed", (f"Sentence number {i} is here and goes on for quite a while ab")[:50]) for i in range(10)]
     df = spark.createDataFrame(rows * 2, "doc_id int, source string, text string").selectExpr("*", "1 AS line", "'x' AS body", "2 AS limit")

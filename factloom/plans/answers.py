@@ -13,8 +13,11 @@ from factloom.operators import graph as G
 from factloom.operators import health as H
 from factloom.operators.fusion import reciprocal_rank_fusion
 from factloom.operators.lexical import bm25, build_index, query_terms, top_k, vocabulary
+from factloom.operators.semantic import build_semantic
+from factloom.operators.semantic import semantic_search as lsa_search
 from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _lexical
 from factloom.session import table
+from factloom.streaming.ingest import windowed_counts
 
 AS_OF = "2026-01-01"
 PROBES = ["glucose meter", "sensor cartridge", "analyzer pro", "blood gas control", "xpress", "zzz"]
@@ -189,9 +192,20 @@ UNION ALL SELECT 'freshness', x, (2190 - x) / 1460 FROM (SELECT (list(age ORDER
 hs AS (SELECT metric, round(coalesce(raw, 0), 6) AS raw, round(100 * greatest(0, least(1, coalesce(s, 0))), 2) AS score FROM hm)"""
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
+def semantic_search(spark, d):
+    """Latent semantic run of the benchmark questions over the documents; an iterative method, so without SQL."""
+    index = build_semantic(table(spark, d, "documents"), "doc_id", dims=32)
+    found = lsa_search(index, [(r["item_id"], r["text"]) for r in _items(spark, d).select("item_id", "text").collect()])  # the fixed question set
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")
+
+
+def event_windows(spark, d):
+    return windowed_counts(table(spark, d, "events"))
+
+
 QUERIES = {f.__name__: f for f in (
     question_analysis, evidence_rerank, mmr_answers, composed_answers, document_cohesion, confidence_scores, question_bank_match, typeahead_suggest, typeahead_fuzzy, evaluation_by_mode,
-    evaluation_by_category, evaluation_gate, health_metrics, health_overall, health_risks, insight_heatmap, insight_wordcloud, insight_timeline)}
+    evaluation_by_category, evaluation_gate, health_metrics, health_overall, health_risks, insight_heatmap, insight_wordcloud, insight_timeline, semantic_search, event_windows)}
 SQL = {
     "question_analysis": f"SELECT item_id, {_INTENT} AS intent, {_FOC} AS focus, len({_CT}) AS terms FROM benchmark_items",
     "evidence_rerank": f"""WITH kr AS (SELECT *, metadata['record_type'] AS record_type FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY loaded_at NULLS FIRST, title, text) AS r FROM knowledge_records) WHERE r = 1),
@@ -218,6 +232,7 @@ SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe OR
     "evaluation_by_mode": _EV + f" SELECT mode, {_MEAN}, count(*) AS cases FROM cm GROUP BY 1",
     "evaluation_by_category": _EV + f" SELECT family, {_MEAN}, count(*) AS cases FROM cm WHERE mode = 'hybrid' GROUP BY 1",
     "evaluation_gate": _EV + f", e AS (SELECT {_MEAN} FROM cm WHERE mode = 'hybrid') SELECT 'recall_5' AS metric, recall_5 AS value, 0.7::DOUBLE AS needed, recall_5 >= 0.7::DOUBLE AS passed FROM e UNION ALL SELECT 'mrr', mrr, 0.55, mrr >= 0.55::DOUBLE FROM e",
+    "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "health_metrics": f"WITH {_HM} SELECT * FROM hs",
     "health_overall": f"WITH {_HM}, o AS (SELECT round(avg(score), 2) AS overall FROM hs) SELECT overall, CASE WHEN overall >= 75 THEN 'healthy' WHEN overall >= 50 THEN 'fair' WHEN overall >= 30 THEN 'weak' ELSE 'poor' END AS band, (SELECT metric FROM hs ORDER BY score, metric LIMIT 1) AS weakest, (SELECT metric FROM hs ORDER BY score DESC, metric LIMIT 1) AS strongest FROM o",
     "health_risks": f"""WITH b AS (SELECT DISTINCT lower(trim(canonical)) AS c, document_id FROM entity_mentions WHERE trim(canonical) <> '' AND document_id IS NOT NULL), s AS (SELECT c FROM b GROUP BY 1 HAVING count(*) >= 2)

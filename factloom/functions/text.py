@@ -100,7 +100,7 @@ def classify_sentence(s: Column | str, last_count: Column | int = 3) -> tuple[Co
     t = F.regexp_replace(s, r"^\s+|\s+\z", "")
     parts = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     n, k = F.length(t), F.size(parts)
-    alpha, digit = F.regexp_count(t, F.lit(r"\p{L}")) / n, F.regexp_count(t, F.lit(r"\p{Nd}")) / n
+    alpha, digit = F.try_divide(F.regexp_count(t, F.lit(r"\p{L}")), n), F.try_divide(F.regexp_count(t, F.lit(r"\p{Nd}")), n)
     numeric = F.size(F.filter(parts, lambda w: w.rlike(r"^[0-9.,%()+\-]+$")))
     short = F.size(F.filter(parts, lambda w: F.length(w) <= 3))
     caps = F.size(F.filter(parts, lambda w: w.rlike(r"^\p{Lu}")))

@@ -60,7 +60,7 @@ def cohesion(ranked: DataFrame, names: DataFrame, questions: DataFrame, boost: f
     scored = per.join(names, "document").join(questions, "query").select("query", "document", hits.alias("name_hits"), F.round(F.col("score") + boost * hits, 6).alias("total"))
     order = W.partitionBy("query").orderBy(F.desc("total"), "document")
     two = scored.withColumns({"r": F.row_number().over(order), "next": F.lead("total").over(order)}).where("r = 1")
-    return two.select("query", "document", "total", "name_hits", F.round(F.col("total") / F.col("next"), 4).alias("ratio"), F.coalesce(F.col("total") >= dominance * F.col("next"), F.lit(True)).alias("dominant"))
+    return two.select("query", "document", "total", "name_hits", F.round(F.try_divide("total", "next"), 4).alias("ratio"), F.coalesce(F.col("total") >= dominance * F.col("next"), F.lit(True)).alias("dominant"))
 
 
 def confidence(signals: dict[str, Column], empty: Column) -> tuple[Column, Column]:

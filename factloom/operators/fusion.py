@@ -46,4 +46,4 @@ def diagnostics(lexical: DataFrame, second: DataFrame, k: int = 10) -> DataFrame
     each = both.groupBy("query", "doc").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     agree = each.groupBy("query").agg(F.round(F.sum(F.col("a") * F.col("b")) / F.count("*"), 2).alias("agreement"))
     top = lexical.where("rank <= 5").groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.avg(F.when(F.col("rank") > 1, F.col("score"))).alias("rest"))
-    return agree.join(top, "query", "left").select("query", "agreement", F.round(F.coalesce((F.col("top") - F.col("rest")) / F.col("top"), F.lit(0.6)), 4).alias("margin"))
+    return agree.join(top, "query", "left").select("query", "agreement", F.round(F.coalesce(F.try_divide(F.col("top") - F.col("rest"), F.col("top")), F.lit(0.6)), 4).alias("margin"))

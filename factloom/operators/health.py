@@ -18,7 +18,7 @@ def health_metrics(chunks: DataFrame, mentions: DataFrame, documents: DataFrame,
     """
     pct = lambda c: F.round(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 2)
     row = lambda name, df, raw, share: df.select(F.lit(name).alias("metric"), F.round(F.coalesce(raw, F.lit(0.0)), 6).alias("raw"), pct(F.coalesce(share, F.lit(0.0))).alias("score"))
-    per = chunks.agg((F.countDistinct("chunk_id") / F.countDistinct("document_id")).alias("x"))
+    per = chunks.agg(F.try_divide(F.countDistinct("chunk_id"), F.countDistinct("document_id")).alias("x"))
     ents = mentions.select(F.lower(F.trim("canonical")).alias("c"), "document_id").where("c <> '' AND document_id IS NOT NULL").distinct().groupBy("c").agg(F.count("*").alias("n"))
     linked = ents.agg(F.avg((F.col("n") >= 2).cast("double")).alias("x"))
     dates = documents.agg(F.avg(F.col("published_at").isNotNull().cast("double")).alias("x"))

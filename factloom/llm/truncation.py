@@ -17,12 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import lexicons as L
 from factloom.session import small, stored
 
 # Marks that an exporter puts where it cut a text.
 CUT_MARK = r"(?:\s*(?:\.\.\.|…|\[(?:more|truncated|continued|cont\.?|\.\.\.|…)\]|\((?:more|truncated|continued)\)|\bread more|<truncated>))+\s*$"
 # Sentence ends, with closing quotes or brackets behind them.
 TERMINATED = r"[.!?。！？](?:[\"'”’»)\]]*)$"
+# A sentence end with further text behind it, not the point of an abbreviation.
+SENTENCE_INSIDE = r"(?i)(?:\p{L}{2}(?<!\b(?:inc|corp|ltd|co|no|nos|vs|approx|fig|cat|ref|dr|st|rev|ver|vol|max|min|temp|incl|etc))\.|\p{L}{2}[!?])[\"'”’»)\]]*\s+\S|[。！？]\s*\S"
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 _CLOSE = set(_OPEN.values())
@@ -59,7 +62,8 @@ def line_template(c: Column) -> Column:
 
 
 def truncated_documents(df: DataFrame, doc_id: str, source: str, text: str = "text",
-                        min_share: float = 0.0002, min_documents: int = 3, limit_share: float = 0.02, signoff_words: int = 8) -> DataFrame:
+                        min_share: float = 0.0002, min_documents: int = 3, limit_share: float = 0.02, signoff_words: int = 8,
+                        usual_share: float = 0.1, habit_share: float = 0.5) -> DataFrame:
     """One row per document: id, source (folded), truncated, reasons.
 
     A document is truncated when its stored text stops inside a word or sentence.  reasons lists
@@ -69,6 +73,11 @@ def truncated_documents(df: DataFrame, doc_id: str, source: str, text: str = "te
     ``limit_share`` of its documents share, three at least).  A line counts as complete when it is
     followed by another line, or has at most ``signoff_words`` words, closes the text and begins no longer
     line, in at least ``min_documents`` different texts and ``min_share`` of all; list items and table cells also when their last word is common.
+    An unterminated end counts by itself where at least ``usual_share`` of the source's texts close with a terminator or the length is a
+    limit.  Elsewhere it needs evidence that cuts do not remove: sentence ends inside this text or inside ``habit_share`` of the source's
+    texts, or a last word that cannot close a sentence (function word, comma).  There a short last line without function words, below a
+    closed line, is a sign-off if ``habit_share`` of the source's unterminated texts end so.  What stays undecided, and counts as complete,
+    is a lone unfinished sentence that stops at any other word in a source that writes no sentence ends.
     Null or blank texts are not truncated; a null source is reported as null; repeated rows collapse; an
     empty table gives no rows; further columns are ignored.
     """
@@ -85,6 +94,7 @@ def truncated_documents(df: DataFrame, doc_id: str, source: str, text: str = "te
         docs.select("id", "source", "t1", "body", F.length("t1").alias("len"), (F.length("tail") > F.length("kept")).alias("marked"), F.substring_index("body", "\n", -1).alias("last"))
         .select(
             "id", "source", "len", "marked", "last", F.xxhash64("body").alias("h"), (F.length("body") > 0).alias("filled"), closed(F.col("last")).alias("terminated"),
+            F.col("body").rlike(SENTENCE_INSIDE).alias("spoken"), F.coalesce(closed(F.try_element_at(lines, F.lit(-2))), F.lit(False)).alias("below_closed"),
             line_template(F.col("last")).alias("line"), F.lower(F.regexp_extract(F.right("last", F.lit(200)), r"([^\s|]+)$", 1)).alias("last_word"),
             F.array_distinct(F.transform(opened, lambda s: F.struct(line_template(s["x"]).alias("line"), s["inside"].alias("inside")))).alias("opened"))
         .dropDuplicates(["id", "source", "h"]),
@@ -113,14 +123,16 @@ def truncated_documents(df: DataFrame, doc_id: str, source: str, text: str = "te
         .crossJoin(F.broadcast(total)).where((F.col("k") >= min_documents) & (F.col("k") >= 0.002 * F.col("n"))).select("last_word", F.lit(True).alias("common_word"))
     )
     # --- field limits and usual terminators by source
-    by_source = base.where("len > 0").groupBy("source").agg(F.count("*").alias("m"), F.avg(F.col("terminated").cast("int")).alias("usual"))
+    function_word = rf"(?i)(?:^|[\s,;(])(?:{'|'.join(L.FUNCTION_WORDS)})"
+    signed = F.col("below_closed") & (F.size(F.split("line", " ")) <= signoff_words) & ~F.col("last").rlike(function_word + r"(?=$|[\s,;)])")
+    by_source = base.where("len > 0").groupBy("source").agg(F.count("*").alias("m"), F.avg(F.col("terminated").cast("int")).alias("usual"), F.avg(F.col("spoken").cast("int")).alias("written"), F.coalesce(F.avg(F.when(~F.col("terminated"), signed.cast("int"))), F.lit(0.0)).alias("signing"))
     sources = by_source.select(F.col("source").alias("ms"), "m")
     limits = (
         base.where("len > 0 AND NOT terminated").groupBy("source", "len").agg(F.count("*").alias("k"))
         .join(small(sources), F.col("source").eqNullSafe(F.col("ms")))
         .where((F.col("k") >= 3) & (F.col("k") >= limit_share * F.col("m"))).select(F.col("source").alias("ls"), F.col("len").alias("limit"))
     )
-    usual = by_source.select(F.col("source").alias("bs"), "usual")
+    usual = by_source.select(F.col("source").alias("bs"), "usual", "written", "signing")
     judged = (
         base.join(small(complete), "line", "left").join(small(stored(common, "common-words")), "last_word", "left")
         .join(small(stored(limits, "field-limits")), F.col("source").eqNullSafe(F.col("ls")) & (F.col("len").between(F.col("limit") - 1, F.col("limit"))), "left")
@@ -130,7 +142,10 @@ def truncated_documents(df: DataFrame, doc_id: str, source: str, text: str = "te
     whole = F.coalesce(F.col("whole"), F.lit(False)) | F.col("last").rlike(r"^\s*https?://\S+/\S*\d+$") | (itemised & F.coalesce(F.col("common_word"), F.lit(False)) & F.col("limit").isNull())
     at_limit = F.col("limit").isNotNull()
     digit_stop = F.col("last").rlike(r"\d\.$") & at_limit
-    no_end = (~F.col("terminated") | digit_stop) & ~whole & F.col("filled") & ((F.col("usual") >= 0.1) | at_limit)
+    hanging = F.col("last").rlike(r"\s\S*[,;]$") | F.col("last").rlike(r"\s\S+" + function_word + "$")
+    signs_off = signed & (F.col("signing") >= habit_share)
+    evidence = hanging | ((F.col("spoken") | (F.col("written") >= habit_share)) & ~signs_off)
+    no_end = (~F.col("terminated") | digit_stop) & ~whole & F.col("filled") & ((F.col("usual") >= usual_share) | at_limit | evidence)
     flags = judged.select(
         "id", "source", "last", at_limit.alias("at_limit"), no_end.alias("no_end"), "marked", F.col("last").rlike("�$").alias("bytes"),
         F.col("last").rlike(r"(?:&#?[a-zA-Z0-9]{0,8}|\\|\\[ux][0-9A-Fa-f]{0,3}|%[0-9A-F])$").alias("escape"),

@@ -119,3 +119,19 @@ def test_truncation(spark):
     shares = {r.source: r.share for r in truncation_by_source(spark.createDataFrame(list(got.values()))).collect()}
     assert shares["fixed"] == 1.0
     assert truncated_documents(spark.createDataFrame([], df.schema), "doc_id", "source").count() == 0
+
+
+def test_truncation_of_a_source_that_is_mostly_cut(spark):
+    rnd = random.Random(4)
+    words_ = [f"{a}{b}" for a in ("mor", "tal", "ven", "sip", "gar", "lud") for b in ("ike", "ond", "ather", "isp", "elm")]
+    prose = lambda sep: sep.join(" ".join(["The", *rnd.choices(words_, k=rnd.randint(6, 14))]) + "." for _ in range(8))
+    stop = lambda t: t[: rnd.randint(len(t) // 3, len(t) - 3)].rstrip(". \n")
+    rows = [(i, "cut", stop(prose(" ")) if i % 20 else prose(" ")) for i in range(400)] + [(400 + i, "cut lines", stop(prose("\n")) if i % 20 else prose("\n")) for i in range(400)]
+    title = lambda n: " ".join(rnd.choices(words_, k=n)).title()
+    rows += [(800 + i, "titles", title(i + 3)) for i in range(60)] + [(900 + i, "titles", f"{title(2 * i)} meter reviewed by the") for i in range(3)]  # no length is shared
+    rows += [(1000 + i, "signed", " ".join([prose(" ")] * (i + 1)) + "\n" + title(2)) for i in range(60)]
+    got = {r.doc_id: r.truncated for r in truncated_documents(spark.createDataFrame(rows, "doc_id int, source string, text string"), "doc_id", "source").collect()}
+    found = {i for i, t in got.items() if t}
+    cut = {i for i in range(800) if i % 20}
+    assert found - cut == {900, 901, 902}
+    assert all(len(found & part) >= 0.95 * len(part) for part in ({i for i in cut if i < 400}, {i for i in cut if i >= 400}))  # stumps of a few letters that many texts share remain

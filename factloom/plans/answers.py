@@ -194,7 +194,7 @@ _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 def semantic_search(spark, d):
     """Latent semantic run of the benchmark questions over the documents; an iterative method, so without SQL."""
-    index = build_semantic(table(spark, d, "documents"), "doc_id", dims=32)
+    index = build_semantic(table(spark, d, "documents"), "doc_id")
     found = lsa_search(index, [(r["item_id"], r["text"]) for r in _items(spark, d).select("item_id", "text").collect()])  # the fixed question set
     return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")
 

@@ -186,6 +186,33 @@ def test_semantic_index_finds_the_cluster(spark):
     assert q.dtype == np.int8 and np.allclose(q * scale, [[0.5, -1.0], [0.0, 0.25]], atol=scale)
 
 
+def test_registered_semantic_run_equals_a_dense_svd(spark, tmp_path):
+    from factloom.plans.answers import QUERIES
+
+    rnd = random.Random(3)
+    words = [f"w{i}x" for i in range(90)]
+    texts = [" ".join(rnd.choices(words, k=30)) for _ in range(60)]
+    asked = [(q, " ".join(rnd.choices(words, k=4))) for q in range(5)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark_items.parquet")
+    tf = np.array([[t.split().count(w) for w in words] for t in texts], dtype=float)
+    df = (tf > 0).sum(axis=0)
+    assert df.min() >= 2
+    idf = np.log(61 / (1 + df)) + 1
+    a = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    _, singular, vt = np.linalg.svd(a, full_matrices=False)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    docs, terms = unit(a @ vt[:59].T), unit(vt[:59].T * singular[:59])  # 59 = min(96, terms - 1, docs - 1)
+    got = QUERIES["semantic_search"](spark, str(tmp_path)).collect()
+    assert len(got) == 50
+    for q, t in asked:
+        at = [words.index(w) for w in t.split()]
+        score = docs @ unit((idf[at, None] * terms[at]).sum(axis=0))
+        mine = {r.doc_id: r.score for r in got if r.item_id == q}
+        assert set(mine) == set(np.argsort(-score)[:10]) and all(abs(score[d] - v) < 1e-4 for d, v in mine.items())
+
+
 def docx() -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"

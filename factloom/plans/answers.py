@@ -15,7 +15,7 @@ from factloom.operators.fusion import reciprocal_rank_fusion
 from factloom.operators.lexical import bm25, build_index, query_terms, top_k, vocabulary
 from factloom.operators.semantic import build_semantic
 from factloom.operators.semantic import semantic_search as lsa_search
-from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _lexical
+from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _latent, _lexical
 from factloom.session import table
 from factloom.streaming.ingest import windowed_counts
 
@@ -104,8 +104,8 @@ def typeahead_fuzzy(spark, d):
     return A.fuzzy_suggest(["glcs mtr", "ktne anlzr"], table(spark, d, "device_reference").select(F.col("ref_id").alias("id"), F.col("canonical_name").alias("name")))
 
 
-def _runs(spark, d):
-    """Three modes over product questions: the reference list's names ask for the documents of that product."""
+def _runs(spark, d, name="overlap"):
+    """Three modes over product questions: the reference list's names ask for the documents of that product.  ``name``: the second run, overlap or semantic."""
     from factloom.plans.retrieval import _docs
 
     docs = _docs(spark, d)
@@ -113,10 +113,10 @@ def _runs(spark, d):
     index, terms = build_index(docs, "doc_id"), query_terms(asked, "query", "text")
     lexical = top_k(bm25(index, terms), 40)
     flat = terms.join(index.terms.select("term", "df"), "term").select("query", "term")
-    second = top_k(index.postings.join(F.broadcast(flat), "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score")), 40)
+    second = _latent(docs, asked, "query", "text", 40) if name == "semantic" else top_k(index.postings.join(F.broadcast(flat), "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score")), 40)
     run = lambda df, name: df.select("query", F.lit(name).alias("retriever"), "doc", "score", "rank", F.lit(1.0).alias("weight"))
-    hybrid = top_k(reciprocal_rank_fusion(run(lexical, "bm25").unionByName(run(second, "overlap"))), 20)
-    ranked = lexical.select(F.lit("lexical").alias("mode"), "query", "doc", "rank").unionByName(second.select(F.lit("overlap").alias("mode"), "query", "doc", "rank")).unionByName(hybrid.select(F.lit("hybrid").alias("mode"), "query", "doc", "rank"))
+    hybrid = top_k(reciprocal_rank_fusion(run(lexical, "bm25").unionByName(run(second, name))), 20)
+    ranked = lexical.select(F.lit("lexical").alias("mode"), "query", "doc", "rank").unionByName(second.select(F.lit(name).alias("mode"), "query", "doc", "rank")).unionByName(hybrid.select(F.lit("hybrid").alias("mode"), "query", "doc", "rank"))
     gold = docs.where("product IS NOT NULL").join(asked.select("query", F.col("text").alias("product"), "family"), "product").select("query", F.col("doc_id").alias("doc"))
     return E.case_metrics(ranked, gold), asked
 
@@ -134,6 +134,20 @@ def evaluation_gate(spark, d):
     return E.gate(E.mean_metrics(_runs(spark, d)[0], ["mode"]), "hybrid")
 
 
+def evaluation_by_mode_semantic(spark, d):
+    """As evaluation_by_mode with the latent-semantic run second; without SQL, as the two below."""
+    return E.mean_metrics(_runs(spark, d, "semantic")[0], ["mode"])
+
+
+def evaluation_by_category_semantic(spark, d):
+    cases, asked = _runs(spark, d, "semantic")
+    return E.mean_metrics(cases.where("mode = 'hybrid'").join(asked.select("query", "family"), "query"), ["family"])
+
+
+def evaluation_gate_semantic(spark, d):
+    return E.gate(E.mean_metrics(_runs(spark, d, "semantic")[0], ["mode"]), "hybrid")
+
+
 def _tables(spark, d):
     return [table(spark, d, n) for n in ("chunks", "entity_mentions", "documents")]
 
@@ -205,7 +219,7 @@ def event_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     question_analysis, evidence_rerank, mmr_answers, composed_answers, document_cohesion, confidence_scores, question_bank_match, typeahead_suggest, typeahead_fuzzy, evaluation_by_mode,
-    evaluation_by_category, evaluation_gate, health_metrics, health_overall, health_risks, insight_heatmap, insight_wordcloud, insight_timeline, semantic_search, event_windows)}
+    evaluation_by_category, evaluation_gate, evaluation_by_mode_semantic, evaluation_by_category_semantic, evaluation_gate_semantic, health_metrics, health_overall, health_risks, insight_heatmap, insight_wordcloud, insight_timeline, semantic_search, event_windows)}
 SQL = {
     "question_analysis": f"SELECT item_id, {_INTENT} AS intent, {_FOC} AS focus, len({_CT}) AS terms FROM benchmark_items",
     "evidence_rerank": f"""WITH kr AS (SELECT *, metadata['record_type'] AS record_type FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY loaded_at NULLS FIRST, title, text) AS r FROM knowledge_records) WHERE r = 1),

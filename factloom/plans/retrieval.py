@@ -9,6 +9,7 @@ from factloom.functions import lexicons as L
 from factloom.functions.text import degenerate, tokens
 from factloom.operators.fusion import diagnostics, facet_counts, faceted, reciprocal_rank_fusion
 from factloom.operators.lexical import bm25, build_index, expanded_terms, query_terms, top_k, vocabulary
+from factloom.operators.semantic import build_semantic, semantic_search
 from factloom.operators.vectors import cosine_top_k
 from factloom.session import table
 
@@ -57,6 +58,18 @@ def _coverage(spark, d, k):
     return top_k(hits.join(F.broadcast(size), "query").select("query", "doc", F.round(F.col("hit") / F.col("n"), 6).alias("score")), k)
 
 
+def _latent(docs, asked, query, text, k):
+    """Latent-semantic run of asked(query, text), a fixed question set, over the documents; empty where the index is disabled."""
+    index = build_semantic(docs, "doc_id")
+    if not index.enabled:
+        return docs.sparkSession.createDataFrame([], "query bigint, doc bigint, score double, rank int")
+    return semantic_search(index, [(r[0], r[1]) for r in asked.select(query, text).collect()], k)
+
+
+def _semantic(spark, d, k):
+    return _latent(_docs(spark, d), _items(spark, d), "item_id", "text", k)
+
+
 def bm25_search(spark, d):
     return _lexical(spark, d, DEPTH).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")
 
@@ -73,25 +86,46 @@ def cosine_search(spark, d):
     return cosine_top_k(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding").select(F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "rank", "score")
 
 
-def _fused(spark, d):
+def _fused(spark, d, second=_coverage, name="coverage"):
     run = lambda df, name: df.select("query", F.lit(name).alias("retriever"), "doc", "score", "rank", F.lit(1.0).alias("weight"))
-    return reciprocal_rank_fusion(run(_lexical(spark, d, 40), "bm25").unionByName(run(_coverage(spark, d, 40), "coverage")))
+    return reciprocal_rank_fusion(run(_lexical(spark, d, 40), "bm25").unionByName(run(second(spark, d, 40), name)))
 
 
-def rrf_fusion(spark, d):
-    return top_k(_fused(spark, d), DEPTH).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score", "retrievers", "best_rank")
+def _ranked(fused):
+    return top_k(fused, DEPTH).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score", "retrievers", "best_rank")
 
 
-def hybrid_faceted(spark, d):
-    top = top_k(_fused(spark, d), 40).select("query", "doc", "score", F.col("rank").alias("fused_rank"))
+def _faceted(spark, d, fused):
+    top = top_k(fused, 40).select("query", "doc", "score", F.col("rank").alias("fused_rank"))
     kept = faceted(top, _docs(spark, d), "doc_id", {"doc_type": "Instructions For Use", "lang": "all"})
     return top_k(kept, DEPTH).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "fused_rank")
 
 
+def rrf_fusion(spark, d):
+    return _ranked(_fused(spark, d))
+
+
+def hybrid_faceted(spark, d):
+    return _faceted(spark, d, _fused(spark, d))
+
+
 def hybrid_diagnostics(spark, d):
     return diagnostics(_lexical(spark, d, 20), _coverage(spark, d, 20)).withColumnRenamed("query", "item_id")
 
 
+def rrf_fusion_semantic(spark, d):
+    """BM25 fused with the latent-semantic run; an iterative method, so without SQL, as the two below."""
+    return _ranked(_fused(spark, d, _semantic, "semantic"))
+
+
+def hybrid_faceted_semantic(spark, d):
+    return _faceted(spark, d, _fused(spark, d, _semantic, "semantic"))
+
+
+def hybrid_diagnostics_semantic(spark, d):
+    return diagnostics(_lexical(spark, d, 20), _semantic(spark, d, 20)).withColumnRenamed("query", "item_id")
+
+
 def facets(spark, d):
     return facet_counts(_docs(spark, d), ["lang", "source", "doc_type", "product"])
 
@@ -121,7 +155,7 @@ _FW = ", ".join(f"'{w}'" for w in L.FUNCTION_WORDS)
 
 QUERIES = {f.__name__: f for f in (
     tokenize_documents, corpus_vocabulary, bm25_terms, bm25_corpus_stats, bm25_postings, bm25_search, bm25_search_expanded, cosine_search, rrf_fusion, hybrid_faceted,
-    hybrid_diagnostics, facets, degenerate_queries)}
+    hybrid_diagnostics, rrf_fusion_semantic, hybrid_faceted_semantic, hybrid_diagnostics_semantic, facets, degenerate_queries)}
 SQL = {
     "tokenize_documents": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)",
     "corpus_vocabulary": "SELECT word, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda x: lower(x))) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 2",

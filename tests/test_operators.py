@@ -213,6 +213,25 @@ def test_registered_semantic_run_equals_a_dense_svd(spark, tmp_path):
         assert set(mine) == set(np.argsort(-score)[:10]) and all(abs(score[d] - v) < 1e-4 for d, v in mine.items())
 
 
+def test_hybrid_queries_with_the_semantic_run(spark, tmp_path):
+    from factloom.plans.answers import QUERIES as ANSWERS
+    from factloom.plans.retrieval import QUERIES
+
+    texts = ["renal creatinine kidney function", "creatinine kidney clearance renal", "creatinine clearance estimate", "quality control level limits", "control limits quality lot", "quality lot control material", "glucose strip sugar", "sugar glucose reading"]
+    rows = [(i, t, "kidney panel" if i < 3 else None, "Instructions For Use", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, product string, doc_type string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "renal kidney")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark_items.parquet")
+    spark.createDataFrame([(7, "kidney panel", "renal")], "ref_id bigint, canonical_name string, family string").write.parquet(f"{tmp_path}/device_reference.parquet")
+    run = lambda q, of=QUERIES: of[q](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in run("rrf_fusion")} == {0, 1}  # two lexical runs
+    fused = {r.doc_id: r.retrievers for r in run("rrf_fusion_semantic")}
+    assert fused[2] == "semantic" and fused[0] == fused[1] == "bm25+semantic"  # shares no word with the question
+    assert 2 in {r.doc_id for r in run("hybrid_faceted_semantic")}
+    assert run("hybrid_diagnostics_semantic")[0].agreement < run("hybrid_diagnostics")[0].agreement == 1
+    by_mode = {r["mode"]: r for r in run("evaluation_by_mode_semantic", ANSWERS)}
+    assert set(by_mode) == {"lexical", "semantic", "hybrid"} and run("evaluation_gate_semantic", ANSWERS) and run("evaluation_by_category_semantic", ANSWERS)
+
+
 def docx() -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"

@@ -130,8 +130,16 @@ def fuzzy_suggest(probes: list[str], names: DataFrame, floor: float = 0.35, most
 def sentence_relevance(candidates: DataFrame) -> DataFrame:
     """Scores candidates(query, terms, focus, intent, doc, score, pos, total, sentence, quality): relevance and final.
 
-    Coverage of the question's terms, answer cues, focus, quality and position; sentences that match nothing are dropped.
+    Coverage of the question's terms, semantic similarity, answer cues, focus, quality and position, less for sentences on a rival of the
+    analyte asked about and for regulatory comparisons; final is times the prior.  Sentences that match nothing are dropped.  Columns
+    semantic and prior are 0 and 1 where candidates has none.
     """
+    semantic = F.col("semantic") if "semantic" in candidates.columns else F.lit(0.0)
+    prior = F.col("prior") if "prior" in candidates.columns else F.lit(1.0)
+    meta = (F.col("intent") != "REGULATORY") & F.col("sentence").rlike(L.META_REGULATORY)
+    asked = F.filter("focus", lambda f: F.arrays_overlap(F.array(f), F.array(*map(F.lit, L.RIVALS))))
+    present = F.filter(F.array(*map(F.lit, L.RIVALS)), lambda r: F.lower("sentence").contains(r))
+    rival = (F.size(asked) > 0) & (F.size(present) > 0) & ~F.exists(present, lambda p: F.exists(asked, lambda a: a.contains(p) | p.contains(a)))
     own = F.array_distinct(tokens("sentence"))
     cover = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", own)) / F.size("terms")).otherwise(0.0)
     cue = F.lit(0.0)
@@ -140,9 +148,17 @@ def sentence_relevance(candidates: DataFrame) -> DataFrame:
         cue = F.when(F.col("intent") == name, best).otherwise(cue)
     focus = F.when(F.size("focus") > 0, F.size(F.array_intersect("focus", own)) / F.size("focus")).otherwise(0.5)
     place = 1 - F.least(F.lit(1.0), F.col("pos") / F.greatest("total", F.lit(1))) * 0.35
-    relevance = 0.26 * cover + 0.18 * cue + 0.16 * focus + 0.12 * F.col("quality") + 0.06 * place
-    final = relevance * (0.85 + 0.15 * F.least(F.lit(1.0), 8 * F.col("score") / F.greatest(F.max("score").over(W.partitionBy("query")), F.lit(1e-9)) / 8))
-    return candidates.where((cover > 0) | (cue > 0)).select("query", "doc", "pos", "sentence", own.alias("own"), F.round(relevance, 6).alias("relevance"), F.round(final, 6).alias("final"))
+    weighed = F.when(meta, 0.55).otherwise(1.0) * F.when(rival, 0.15).otherwise(1.0)
+    relevance = weighed * (0.26 * cover + 0.22 * semantic + 0.18 * cue * F.when(meta, 0.25).otherwise(1.0) + 0.16 * focus + 0.12 * F.col("quality") + 0.06 * place)
+    final = relevance * prior * (0.85 + 0.15 * F.least(F.lit(1.0), 8 * F.col("score") / F.greatest(F.max("score").over(W.partitionBy("query")), F.lit(1e-9)) / 8))
+    return candidates.where((cover > 0) | (cue > 0) | (semantic >= 0.2)).select("query", "doc", "pos", "sentence", own.alias("own"), F.round(relevance, 6).alias("relevance"), F.round(final, 6).alias("final"))
+
+
+def answerable(sentence: Column | str, kind: Column, intent: Column) -> Column:
+    """Whether a sentence may answer: prose, or a table where the intent admits it, that is no lead-in to a lost list and not about the document."""
+    s = F.col(sentence) if isinstance(sentence, str) else sentence
+    about = s.rlike(L.NAVIGATION) | (s.rlike(L.NAVIGATION_VERB) & s.rlike(L.NAVIGATION_NOUN))
+    return ((kind == "prose") | ((kind == "table") & intent.isin(*L.TABLE_INTENTS))) & ~s.rlike(L.LEAD_IN) & ~about
 
 
 def select_diverse(scored: DataFrame, picks: int = 5, chars: int = 900, trade: float = 0.72, redundancy: float = 0.62, pool: int = 60) -> DataFrame:

@@ -9,7 +9,7 @@ which are added per block before the driver sees them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -155,3 +155,18 @@ def semantic_search(index: SemanticIndex, queries: list[tuple], k: int = 10, flo
             yield pd.DataFrame({"query": [names[i] for i in r], "doc": b["doc"].to_numpy()[c], "score": s[r, c]})
 
     return top_k(index.vectors.mapInPandas(score, f"query bigint, doc {kind}, score double"), k)
+
+
+def with_similarity(pairs: DataFrame, index: SemanticIndex, questions: dict, text: str = "sentence") -> DataFrame:
+    """pairs(query, text, ...) with semantic: cosine of the text and questions[query], at least 0; 0 where either has no known term."""
+    bare = replace(index, vectors=None)
+    shared = pairs.sparkSession.sparkContext.broadcast((bare, {q: v for q, t in questions.items() if (v := bare.embed(t)) is not None}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lsa, asked = shared.value
+        for b in batches:
+            own = {t: lsa.embed(t) for t in b[text].unique()}
+            yield b.assign(semantic=[max(0.0, float(np.dot(asked[q], own[t]))) if q in asked and own[t] is not None else 0.0 for q, t in zip(b["query"], b[text])])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInPandas(run, f"{schema}, semantic double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import lexicons as L
-from factloom.functions.sentences import classified, sentences
+from factloom.functions.sentences import chunk_quality, classified, sentences
 from factloom.functions.text import content_tokens, name_tokens
 from factloom.operators import answers as A
 from factloom.operators import evaluation as E
@@ -13,7 +13,7 @@ from factloom.operators import graph as G
 from factloom.operators import health as H
 from factloom.operators.fusion import reciprocal_rank_fusion
 from factloom.operators.lexical import bm25, build_index, query_terms, top_k, vocabulary
-from factloom.operators.semantic import build_semantic
+from factloom.operators.semantic import build_semantic, with_similarity
 from factloom.operators.semantic import semantic_search as lsa_search
 from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _latent, _lexical
 from factloom.session import table
@@ -55,9 +55,15 @@ def _answers(spark, d):
     hits = top_k(bm25(build_index(chunks, "chunk_id"), query_terms(items, "item_id", "text")), 20).select("query", "doc", "score")
     asked = items.select(F.col("item_id").alias("query"), F.array_distinct(content_tokens("text")).alias("terms"), A.focus_of("text").alias("focus"), A.intent_of("text").alias("intent"))
     found = chunks.join(hits.select(F.col("doc").alias("chunk_id")).distinct(), "chunk_id", "left_semi")  # only cited chunks are split
-    graded = classified(sentences(found, "chunk_id"), vocabulary(chunks)).where((F.length("sentence") >= 30) & F.col("kind").isin("prose", "table"))
-    total = found.select(F.col("chunk_id").alias("doc"), F.length("text").alias("total"))
-    cand = graded.withColumnRenamed("chunk_id", "doc").join(hits, "doc").join(F.broadcast(asked), "query").join(total, "doc").withColumn("pos", F.col("pos").cast("int"))
+    graded = classified(sentences(found, "chunk_id"), vocabulary(chunks))
+    fit = found.join(chunk_quality(graded, "chunk_id").select("chunk_id", F.col("quality").alias("chunk_quality")), "chunk_id", "left")
+    total = fit.select(F.col("chunk_id").alias("doc"), F.length("text").alias("total"), "source_type", "chunk_quality")
+    cand = graded.where(F.length("sentence") >= 30).withColumnRenamed("chunk_id", "doc").join(hits, "doc").join(F.broadcast(asked), "query").join(total, "doc").withColumn("pos", F.col("pos").cast("int"))
+    cand = cand.withColumn("prior", A.evidence_prior(F.col("intent"), F.lit(None).cast("string"), F.col("source_type"), F.col("chunk_quality")))  # chunks have no record type
+    cand = cand.where((F.col("prior") >= 0.12) & A.answerable("sentence", F.col("kind"), F.col("intent")))
+    index = build_semantic(chunks, "chunk_id")
+    if index.enabled:
+        cand = with_similarity(cand, index, {r["item_id"]: r["text"] for r in items.select("item_id", "text").collect()})  # the fixed question set
     return A.select_diverse(A.sentence_relevance(cand))
 
 

@@ -232,6 +232,23 @@ def test_hybrid_queries_with_the_semantic_run(spark, tmp_path):
     assert set(by_mode) == {"lexical", "semantic", "hybrid"} and run("evaluation_gate_semantic", ANSWERS) and run("evaluation_by_category_semantic", ANSWERS)
 
 
+def test_relevance_weighs_meaning_rivals_and_evidence(spark):
+    from factloom.operators.semantic import SemanticIndex, with_similarity
+
+    index = SemanticIndex(True, "", {"kidney": 0, "renal": 1, "battery": 2}, np.ones(3), np.array([[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]))
+    said = ["Values of renal origin rise.", "A battery is inside.", "The glucose kidney result.", "The lactate kidney result.", "A kidney predicate device."]
+    rows = [(1, ["kidney"], ["glucose"], "GENERAL", i, 1.0, 0, 100, s, 0.8, 1.0) for i, s in enumerate(said)] + [(1, ["kidney"], ["glucose"], "GENERAL", 9, 1.0, 0, 100, said[2], 0.8, 0.5)]
+    df = spark.createDataFrame(rows, "query int, terms array<string>, focus array<string>, intent string, doc int, score double, pos int, total int, sentence string, quality double, prior double")
+    got = {r.doc: r for r in A.sentence_relevance(with_similarity(df, index, {1: "kidney"})).collect()}
+    assert set(got) == {0, 2, 3, 4, 9}  # the first is kept for its meaning alone
+    assert abs(got[0].relevance - (0.22 * 0.8 + 0.12 * 0.8 + 0.06)) < 1e-6
+    assert abs(got[3].relevance - 0.15 * (got[2].relevance - 0.16)) < 1e-5 and abs(got[4].relevance - 0.55 * (got[2].relevance - 0.16)) < 1e-5
+    assert abs(got[9].final - got[2].final / 2) < 1e-5
+    ok = [("The substances are listed below:", "prose", "GENERAL"), ("This section covers the meter.", "prose", "GENERAL"), ("a | b", "table", "GENERAL"), ("a | b", "table", "SPECIFICATION"), ("Keep it dry.", "prose", "GENERAL")]
+    kept = spark.createDataFrame(ok, "s string, kind string, intent string").select(A.answerable("s", F.col("kind"), F.col("intent")).alias("k")).collect()
+    assert [r.k for r in kept] == [False, False, False, True, True]
+
+
 def docx() -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"

@@ -24,9 +24,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_mapped(spark, sf_dir).select("record_key", "ref_id").distinct()
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attribute of the three tables that may tell one device from another."""
+    year = lambda c: F.regexp_extract(c, r"(?<![0-9])((?:19|20)[0-9]{2})(?:[0-9]{4})?(?![0-9])", 1)
+    none = F.lit(None).cast("string")
+    of = lambda name, key, text, **more: table(spark, sf_dir, name).select(
+        F.col(key).alias("key"), F.lit(text).alias("field"), F.col(text).alias("text"), *[more.get(c, none).alias(c) for c in ("maker", "city", "state", "kind", "year")])
+    return (
+        of("clearances_510k", "k_number", "device_name", maker=F.col("applicant"), city=F.col("city"), state=F.col("state"), year=year("decision_date"))
+        .unionByName(of("enforcement_reports", "recall_number", "product_description", city=F.col("city"), state=F.col("state"), year=year("recall_initiation_date")))
+        .unionByName(of("nova_ifu_document_index", "ifu_id", "product", kind=F.col("family"))))
+
+
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ifu = table(spark, sf_dir, "nova_ifu_document_index").select(F.col("ifu_id").alias("key"), F.lit("product").alias("field"), F.col("product").alias("text"))
-    return match_records(_texts(spark, sf_dir).unionByName(ifu), reference_parser(table(spark, sf_dir, "device_reference")))
+    records = _records(spark, sf_dir)
+    return match_records(records, reference_parser(table(spark, sf_dir, "device_reference"), texts=records))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +85,13 @@ TAIL = re.compile(
 HEAD = re.compile(r"^\s*(?:product\s*:|affected device is(?: the)?|device\s*:)\s*")
 USED = re.compile(r"to monitor ([a-z ]+?)[.]|determination of ([a-z ]+?) in |measurement of ([a-z ]+?) (?:at|in|during) "
                   r"|testing of ([a-z ]+?) by ")
-CODE = re.compile(r"(?:\b(?:model/catalog|model|mod\.?|ref\.?)\s*)?(?<![a-z0-9])([a-z]{2})[\s.\-]{0,2}([0-9oil]{4})(?![a-z0-9])")
-SPLIT = re.compile(r"\s*;\s*|\s*\(\d\)\s+|\s+and\s+(?=\S)")
+#: Letters, an optional gap and digits (with o, i, l for misread 0 and 1): whatever may be a model designation.
+DESIGNATION = r"(?<![a-z0-9])([a-z]{1,4})[\s.\-]{0,2}([0-9oil]{2,6})(?![a-z0-9])"
+# Words that a number follows without being a designation.
+NUMBERED = {"no", "nos", "lot", "lots", "lpn", "ifu", "gen", "n", "p", "v", "ver", "rev", "vol", "page", "of", "for", "and", "to", "in", "with", "size", "qty"}
+SHAPES = frozenset({(2, 4)})
+STRONG_SPLIT = re.compile(r"\s*;\s*|\s*\(\d\)\s+")
+SPLIT = re.compile(r"\s+and\s+(?=\S)")
 DIGIT = str.maketrans("oil", "011")
 
 
@@ -126,29 +133,32 @@ def _take(text: str, spec: tuple[re.Pattern, dict[str, str]]) -> tuple[str, str]
 
 
 class DeviceParser:
-    """Parser with the known company and brand names (small, size-bounded sets)."""
+    """Parser with the known company and brand names and the shapes of designations (letters, digits) in use."""
 
-    def __init__(self, companies: set[str], brands: set[str] = frozenset()):
-        self.brands = set(brands)
+    def __init__(self, companies: set[str], brands: set[str] | KnownNames = frozenset(), shapes: frozenset[tuple[int, int]] = SHAPES):
+        self.brands = brands
+        forms = "|".join(rf"([a-z]{{{a}}})[\s.\-]{{0,2}}([0-9oil]{{{d}}})" for a, d in sorted(shapes))
+        self.code = re.compile(rf"(?:\b(?:model/catalog|model|mod\.?|ref\.?)\s*)?(?<![a-z0-9])(?:{forms})(?![a-z0-9])")
         firsts = {c.split()[0].lower().strip(".,") for c in companies if c and c.split()}
         self.companies = firsts
         self.short = {c[:4]: c for c in sorted(firsts, reverse=True)}
 
     def device(self, text: str, hint: str = "") -> Mention | None:
         """One device from its own part of the description, or None without a brand."""
-        m = CODE.search(text)
-        while m and not any(c.isdigit() for c in m.group(2)):
-            m = CODE.search(text, m.end())
-        code = ""
-        if m:
-            code = (m.group(1) + m.group(2).translate(DIGIT)).upper()
-            text = text[: m.start()] + " " + text[m.end():]
+        m, code = self.code.search(text), ""
+        while m and not code:
+            letters, digits = (g for g in m.groups() if g)
+            if letters not in NUMBERED and any(c.isdigit() for c in digits):
+                code = (letters + digits.translate(DIGIT)).upper()
+                text = text[: m.start()] + " " + text[m.end():]
+            else:
+                m = self.code.search(text, m.start() + 1)
         text = re.sub(r"\(?\bgen\.? ?2\)?|\(gen\. 2\)", " gen 2 ", text)
         text = re.sub(r"\b(?:model/catalog|model|mod\.|ref)(?=[\s),]|$)", " ", text)
         analyte, text = _take(text, _ANALYTE)
         family, text = _take(text, _FAMILY)
         qualifier, text = _take(text, _QUALIFIER)
-        brand, company = [], ""
+        brand, company = {}, ""  # words in order, each once
         for raw in re.split(r"[\s,()\[\]/:|\"]+", text):
             w = raw.strip(".-'")
             if not w or w in FILLER or not any(c.isalpha() for c in w):
@@ -160,87 +170,110 @@ class DeviceParser:
             elif w in COMPANY_WORDS:
                 continue
             else:
-                brand.append(w.replace("-", ""))
-        joined = "".join(brand)
-        if len(joined) > 80:  # running text, not a name: only a known brand in it can be meant
-            joined = next((w for w in brand if w in self.brands), "")
-            brand = [joined]
+                brand[w.replace("-", "")] = True
+        words = list(brand)
+        joined = "".join(words)
+        if len(words) > 2 and joined not in self.brands:  # running text around the name: the known brand in it is meant
+            joined = next((w for w in [*words, *map("".join, zip(words, words[1:]))] if w in self.brands), joined)
         if qualifier and joined not in self.brands:  # a brand typed in two words, one like a qualifier
             whole = next((w for q in QUALIFIERS[qualifier] for w in (joined + q, q + joined) if w in self.brands), "")
             joined, qualifier = (whole, "") if whole else (joined, qualifier)
-        if len(joined) < 3 or all(w in NO_DEVICE for w in brand):
+        if len(joined) < 3 or all(w in NO_DEVICE for w in words):
             return None
-        return Mention(joined, qualifier, analyte or hint, family, code, company, brand)
+        return Mention(joined, qualifier, analyte or hint, family, code, company, words)
 
     def parse(self, text: str | None) -> list[Mention]:
         """Mentions in order; null, blank and device-free descriptions give none.
 
-        Where more than 80 characters remain unexplained, only a known brand among them counts.
+        What a device is used with, and its accessories, are cut off each listed device on its own, so
+        that they hide no device listed behind them.
         """
         if not text or not text.strip():
             return []
         t = HEAD.sub("", fold(text))
         used = USED.search(t)
-        t = TAIL.sub("", t)
-        parts = [p for p in SPLIT.split(t) if p and p.strip()]
+        parts = [q for p in STRONG_SPLIT.split(t) for q in SPLIT.split(TAIL.sub("", p)) if q and q.strip()]
         hint = ""
         if used and len(parts) == 1:
             hint, _ = _take(next(g for g in used.groups() if g), _ANALYTE)
-        out = [d for p in parts if (d := self.device(p, hint))]
-        return out
+        return [d for p in parts if (d := self.device(p, hint))]
+
+
+class KnownNames:
+    """A set of names kept as sorted 64-bit hashes, eight bytes each, so that a list of any usual length fits every task."""
+
+    def __init__(self, names: Iterable[str] = ()):
+        self.hashes = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(n) for n in names), dtype=np.uint64))
 
+    def __contains__(self, name: str) -> bool:
+        h = np.uint64(xxhash.xxh3_64_intdigest(name))
+        i = int(np.searchsorted(self.hashes, h))
+        return i < len(self.hashes) and self.hashes[i] == h
+
+
+def designation_shapes(texts: DataFrame, share: float = 0.05) -> frozenset[tuple[int, int]]:
+    """Shapes (letters, digits) of the designations in use: those that make up ``share`` of all candidates in text.
+
+    Counted over all texts and combined map-side; at most 24 shapes exist.
+    """
+    plain = F.lower(F.regexp_replace("text", "[‐-―−]", "-"))
+    each = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(DESIGNATION), 0)).alias("m"))
+    parts = each.select(F.regexp_extract("m", DESIGNATION, 1).alias("a"), F.regexp_extract("m", DESIGNATION, 2).alias("d")).where(F.col("d").rlike("[0-9]") & ~F.col("a").isin(*sorted(NUMBERED)))
+    counts = parts.groupBy(F.length("a").alias("a"), F.length("d").alias("d")).agg(F.count("*").alias("n")).collect()
+    whole = sum(r["n"] for r in counts)
+    return frozenset((r["a"], r["d"]) for r in counts if r["n"] >= share * whole) or SHAPES
 
-#: Most reference rows whose names may be shipped to every task.
-MAX_REFERENCE = 200_000
 
 MENTION_SCHEMA = "key string, field string, no int, brand string, qualifier string, analyte string, family string, code string, company string"
 
 
-def reference_parser(reference: DataFrame, name: str = "canonical_name", company: str = "company") -> DeviceParser:
-    """A parser that knows the companies and brands of a reference list of checked size."""
-    rows = reference.select(name, company).distinct().limit(MAX_REFERENCE + 1).collect()
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError("the reference list is too long to be known by every task")
-    companies = {r[1] for r in rows if r[1]}
+def reference_parser(reference: DataFrame, name: str = "canonical_name", company: str = "company", texts: DataFrame | None = None) -> DeviceParser:
+    """A parser that knows the companies and brands of a reference list, and the designation shapes of ``texts``."""
+    rows = reference.select(name, company).distinct()
+    companies = {r[0] for r in reference.select(company).distinct().toLocalIterator() if r[0]}
     plain = DeviceParser(companies)
-    return DeviceParser(companies, {m.brand for r in rows for m in plain.parse(r[0])})
+    known = KnownNames(m.brand for r in rows.toLocalIterator() for m in plain.parse(r[0]))
+    return DeviceParser(companies, known, SHAPES if texts is None else designation_shapes(texts))
 
 
-def mentions(texts: DataFrame, parser: DeviceParser) -> DataFrame:
+def mentions(texts: DataFrame, parser: DeviceParser, carry: list[str] = []) -> DataFrame:  # noqa: B006
     """Device mentions of texts(key, field, text), numbered within a text; see MENTION_SCHEMA.
 
-    A text without a device gives one row with no = 0 and empty parts; null and blank texts give none.
+    A text without a device gives one row with no = 0 and empty parts; null and blank texts give none.  ``carry`` names
+    further string columns to keep.
     """
     shared = texts.sparkSession.sparkContext.broadcast(parser)
+    names = ["key", "field", *carry, "no", "brand", "qualifier", "analyte", "family", "code", "company"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = lru_cache(20_000)(lambda t: tuple(shared.value.parse(t)))
         for b in batches:
             rows = []
-            for key, kind, text in zip(b["key"], b["field"], b["text"]):
+            for *own, text in zip(b["key"], b["field"], *[b[c] for c in carry], b["text"]):
                 found = read(text)
                 if not found:
-                    rows.append((key, kind, 0, "", "", "", "", "", ""))
+                    rows.append((*own, 0, "", "", "", "", "", ""))
                 for i, m in enumerate(found):
-                    rows.append((key, kind, i + 1, m.brand, m.qualifier, m.analyte, m.family, m.code, m.company))
-            yield pd.DataFrame(rows, columns=["key", "field", "no", "brand", "qualifier", "analyte", "family", "code", "company"])
+                    rows.append((*own, i + 1, m.brand, m.qualifier, m.analyte, m.family, m.code, m.company))
+            yield pd.DataFrame(rows, columns=names)
 
-    given = texts.select("key", "field", "text").where(F.col("key").isNotNull() & (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).distinct()
-    return given.mapInPandas(parse, MENTION_SCHEMA)
+    given = texts.select("key", "field", *carry, "text").where(F.col("key").isNotNull() & (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).distinct()
+    return given.mapInPandas(parse, MENTION_SCHEMA.replace("no int", "".join(f"{c} string, " for c in carry) + "no int"))
 
 
-def completed(found: DataFrame) -> DataFrame:
+def completed(found: DataFrame, by: tuple[str, ...] = ("code", "qualifier", "initial")) -> DataFrame:
     """Mentions whose missing analyte or family is filled from mentions of the same designation.
 
-    A designation and qualifier stated with exactly one analyte (family) anywhere lends it to its
-    mentions without one.  Hot designations are pre-aggregated before the join.
+    Mentions that agree on ``by`` (initial is the brand's first letter) and of which all that state an analyte (family) state
+    the same one lend it to those without.  Hot designations are pre-aggregated before the join.
     """
     one = lambda c: F.when(F.min(F.nullif(c, F.lit(""))) == F.max(F.nullif(c, F.lit(""))), F.max(F.nullif(c, F.lit(""))))
-    known = found.where("code <> ''").groupBy("code", "qualifier", F.substring("brand", 1, 1).alias("initial")).agg(one(F.col("analyte")).alias("ka"), one(F.col("family")).alias("kf"))
+    initial = F.substring("brand", 1, 1)
+    known = found.where("code <> ''").withColumn("initial", initial).groupBy(*by).agg(one(F.col("analyte")).alias("ka"), one(F.col("family")).alias("kf"))
     full = lambda c, k: F.when(F.col(c) != "", F.col(c)).otherwise(F.coalesce(F.col(k), F.lit("")))
     lacking = (F.col("code") != "") & ((F.col("analyte") == "") | (F.col("family") == ""))
     filled = (
-        found.where(lacking).withColumn("initial", F.substring("brand", 1, 1)).join(known, ["code", "qualifier", "initial"], "left")
+        found.where(lacking).withColumn("initial", initial).join(known, list(by), "left")
         .withColumns({"analyte": full("analyte", "ka"), "family": full("family", "kf")}).select(*found.columns)
     )
     return found.where(~lacking).unionByName(filled)

@@ -1,7 +1,7 @@
 """Evaluation texts inside training text (problem 8).
 
 Multi-pattern search after Wu and Manber over words: the patterns are all windows of ``width``
-consecutive words of the evaluation items (a small, size-checked set).  A block is two words.  A
+consecutive words of the evaluation items (shipped in parts of checked size).  A block is two words.  A
 shift table says how far the search window may move when the block under its end ends no pattern;
 where a block may end a pattern, a bucket keyed by it lists the patterns to compare directly.
 Texts are searched whole, in Arrow batches next to the scan, without a shuffle.
@@ -16,8 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most pattern words that may be shipped to tasks; more raises, as tables must stay resident.
-MAX_PATTERN_WORDS = 5_000_000
+#: Pattern words whose tables are shipped to tasks at once, as they must stay resident; more are searched in parts.
+PART_WORDS = 5_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -65,18 +65,24 @@ class WuManber:
         return found
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, width: int = 12, text: str = "text", item_text: str = "text") -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, width: int = 12, text: str = "text", item_text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """Distinct (item_id, doc_id) where the document holds ``width`` consecutive words of the item.
 
     Items shorter than ``width`` words, and null or empty texts on either side, match nothing.
     Ties and repeated rows collapse; empty tables give an empty result; other columns are ignored.
     """
     size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_PATTERN_WORDS * 6:
-        raise ValueError("the evaluation set is too large to be held by every task; search it in parts")
-    listed = [(r[0], r[1]) for r in items.select(item_id, item_text).distinct().toLocalIterator()]
-    tables = docs.sparkSession.sparkContext.broadcast(WuManber(listed, width))
+    parts = 1 + size // (part_words * 6)
+    sc, found = docs.sparkSession.sparkContext, None
+    for part in range(parts):  # a larger set is searched part by part, each in a pass of its own
+        own = items.select(item_id, item_text).distinct().where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == part)
+        tables = sc.broadcast(WuManber([(r[0], r[1]) for r in own.toLocalIterator()], width))
+        hits = _scanned(docs, items, tables, doc_id, item_id, text)
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct()
 
+
+def _scanned(docs: DataFrame, items: DataFrame, tables, doc_id: str, item_id: str, text: str) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = tables.value.search
         for b in batches:
@@ -84,4 +90,4 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, w
             yield pd.DataFrame({item_id: [r[0] for r in rows], doc_id: [r[1] for r in rows]})
 
     kinds = f"{item_id} {items.schema[item_id].dataType.simpleString()}, {doc_id} {docs.schema[doc_id].dataType.simpleString()}"
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND d IS NOT NULL").mapInPandas(scan, kinds).distinct()
+    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND d IS NOT NULL").mapInPandas(scan, kinds)

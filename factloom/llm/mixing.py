@@ -1,10 +1,9 @@
 """Mixing sources to target weights (problem 9).
 
-Documents are counted by exact token length per source.  A source's budget is met by whole
-repetitions of the source, then by whole documents in seeded order taken evenly over all lengths,
-and the rest by a bounded-knapsack program over the remaining length counts, which hits the budget to the
-token wherever the lengths allow it.  Which documents of a length are taken is decided by a seeded hash.
-Only length histograms reach the driver.
+Documents are counted by exact token length per source.  A source's budget is met by uses of whole documents, each
+used up to the repeat cap, spread evenly over all lengths; a bounded-knapsack program over the length counts fits
+the rest, which hits the budget to the token wherever the lengths allow it.  Which documents of a length
+are used once more is decided by a seeded hash.  Only length histograms reach the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import random
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from factloom.session import stored
 
-#: Longest token length counted exactly; histogram rows per source are bounded by it.
-MAX_LENGTH = 1_000_000
+#: Longest token length that takes part in the exact step, which keeps its tables within a few million sums.
+EXACT_LENGTH = 1_000_000
 
 
 @lru_cache(2)
@@ -50,48 +50,75 @@ def token_lengths(df: DataFrame, doc_id: str, source: str, text: str, vocabulary
     return docs.mapInPandas(count, f"doc {df.schema[doc_id].dataType.simpleString()}, source string, tokens bigint").distinct()
 
 
-def fit_budget(histogram: dict[int, int], budget: int, seed: int = 0) -> dict[int, int]:
-    """How many documents of each length to take so that their tokens come closest to the budget from below.
+def subset_sum(sizes: dict[int, int], target: int, at_least: bool = False) -> dict[int, int]:
+    """Bounded knapsack: counts of each size, at most as given, whose sum comes closest to the target.
 
-    Even over lengths first, then single documents in seeded order while more than four longest lengths are
-    missing, then bounded subset-sum over what is left.  Exact whenever the last step can reach the rest.
+    From below, or from above with ``at_least`` (then everything, if even that is less).  Each sum remembers the first
+    step that reached it, which is all that is needed to read the choice back.
     """
-    sizes = {n: c for n, c in histogram.items() if n > 0 and c > 0}
+    top = target + (max(sizes, default=0) if at_least else 0)
+    reach, first, steps = np.zeros(top + 1, dtype=bool), np.full(top + 1, -1, dtype=np.int32), []
+    reach[0] = True
+    for n, count in sizes.items():
+        left, part = min(count, top // n), 1
+        while left > 0 and not reach[target]:
+            w = n * (k := min(part, left))
+            new = reach[:-w] & ~reach[w:]
+            first[w:][new] = len(steps)
+            reach[w:] |= new
+            steps.append((n, k))
+            left, part = left - k, part * 2
+    above = np.flatnonzero(reach[target:])
+    if at_least and not len(above):
+        return dict(sizes)
+    s, out = (target + int(above[0]) if at_least else int(np.flatnonzero(reach[: target + 1])[-1])), {}
+    while s > 0:
+        n, k = steps[first[s]]
+        out[n] = out.get(n, 0) + k
+        s -= n * k
+    return out
+
+
+def fit_budget(histogram: dict[int, int], budget: int, most: int = 1, seed: int = 0, longest: int = EXACT_LENGTH) -> dict[int, int]:
+    """How often documents of each length are used so that their tokens come closest to the budget from below.
+
+    A document may be used ``most`` times.  Uses are even over the lengths first, then single ones follow in seeded order
+    while more than a window of four longest lengths is missing; the bounded knapsack fits what is left.  Near
+    the source's whole capacity it fits what to leave out instead.  Both are exact where budget or rest lie within a window; in
+    between every length has uses to spare on both sides.  Lengths beyond ``longest`` are placed before the exact step only.
+    """
+    sizes = {n: c * most for n, c in histogram.items() if n > 0 and c > 0 and most > 0}
     whole = sum(n * c for n, c in sizes.items())
     if budget >= whole:
-        return dict(sizes)
-    window = 4 * max(sizes)
-    take = {n: c * max(budget - window, 0) // whole for n, c in sizes.items()}
-    rest = budget - sum(n * c for n, c in take.items())
+        return sizes
     order = sorted(sizes)
     random.Random(seed).shuffle(order)
-    for n in order:
+    short = [n for n in order if n <= longest]
+    window = 4 * max(short, default=0)
+    if whole - budget <= window and len(short) == len(order):
+        gone = subset_sum({n: sizes[n] for n in order}, whole - budget, at_least=True)
+        return {n: c - gone.get(n, 0) for n, c in sizes.items() if c > gone.get(n, 0)}
+    take = {n: c * max(budget - window, 0) // whole for n, c in sizes.items()}
+    rest = budget - sum(n * c for n, c in take.items())
+    for n in [*(n for n in order if n > longest), *short]:
+        room = rest - (window if n <= longest else 0)
+        if room > 0:
+            more = min(sizes[n] - take[n], room // n)
+            take[n] += more
+            rest -= n * more
+    for n in short:
         if rest <= window:
             break
-        more = min(sizes[n] - take[n], 1 + (rest - window) // n)
+        more = min(sizes[n] - take[n], -(-(rest - window) // n))
         take[n] += more
         rest -= n * more
-    # bounded subset-sum: bit s of ``reach`` tells whether the sum s can be made so far
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
-    for n in order:
-        left, part = min(sizes[n] - take[n], rest // n), 1
-        while left > 0:
-            k = min(part, left)
-            steps.append((n, k, reach))
-            reach |= (reach << (n * k)) & mask
-            left, part = left - k, part * 2
-        if reach >> rest & 1:
-            break
-    s = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> s & 1:
-            take[n] += k
-            s -= n * k
+    for n, k in subset_sum({n: sizes[n] - take[n] for n in short}, rest).items():
+        take[n] += k
     return {n: c for n, c in take.items() if c}
 
 
 def plan_mixture(histograms: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]], total: int | None = None, seed: int = 0) -> list[dict]:
-    """Per target source: budget, whole repetitions and the lengths taken once more.
+    """Per target source: its budget and how often documents of each length are used.
 
     Shares are normalised over the sources that hold tokens and may be used.  Without ``total`` the mixture is
     the largest in which each of them reaches its share; with it, a source too small for its budget
@@ -106,10 +133,8 @@ def plan_mixture(histograms: dict[str, dict[int, int]], targets: dict[str, tuple
     for s in sorted(targets):
         share, most = targets[s]
         budget = int(total * usable[s] / norm + 1e-4) if s in usable else 0
-        within = min(budget, tokens[s] * most) if s in usable else 0
-        rounds = within // tokens[s] if tokens[s] else 0
-        extra = fit_budget(histograms.get(s, {}), within - rounds * tokens[s], seed) if rounds < most and s in usable else {}
-        plans.append({"source": s, "target_share": share, "max_repeats": most, "source_tokens": tokens[s], "budget": budget, "rounds": int(rounds), "extra": extra})
+        uses = fit_budget(histograms.get(s, {}), budget, most, seed) if s in usable else {}
+        plans.append({"source": s, "target_share": share, "max_repeats": most, "source_tokens": tokens[s], "budget": budget, "uses": uses})
     return plans
 
 
@@ -130,15 +155,13 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", total:
         .agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most")).collect()  # the list of target sources
     }
     listed = sized.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0))
-    if listed.agg(F.coalesce(F.max("tokens"), F.lit(0)).alias("n")).first()["n"] > MAX_LENGTH:
-        raise ValueError("a document is longer than the lengths counted exactly")
     histograms: dict[str, dict[int, int]] = {}
     for r in listed.groupBy("source", "tokens").agg(F.count("*").alias("n")).toLocalIterator():
         histograms.setdefault(r["source"], {})[r["tokens"]] = r["n"]
     plans = plan_mixture(histograms, wanted, total, seed)
     spark = docs.sparkSession
-    rounds = spark.createDataFrame([(p["source"], p["rounds"]) for p in plans], "source string, rounds int")
-    extra = spark.createDataFrame([(p["source"], n, c) for p in plans for n, c in p["extra"].items()], "source string, tokens bigint, more bigint")
+    used = [(p["source"], n, *divmod(c, histograms[p["source"]][n])) for p in plans for n, c in p["uses"].items()]
+    uses = spark.createDataFrame(used, "source string, tokens bigint, each bigint, more bigint")
     # the first ``more`` documents of a (source, length) by seeded hash; ranked in hash slices, so that
     # one length may hold any share of the rows
     h = F.xxhash64(F.lit(seed), "doc")
@@ -148,9 +171,9 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", total:
     before = counts.select(*per, "slice", F.coalesce(F.sum("n").over(W.partitionBy(*per).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = (
         sliced.join(before, [*per, "slice"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(*per, "slice").orderBy("h", "doc")))
-        .join(F.broadcast(rounds), "source", "left").join(extra, per, "left")
+        .join(uses, per)
     )
-    copies = F.coalesce("rounds", F.lit(0)) + F.when(F.col("rank") <= F.coalesce("more", F.lit(0)), 1).otherwise(0)
+    copies = F.col("each") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)
     chosen = stored(ranked.select(F.col("doc").alias(doc_id), "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0"), "mix-chosen")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("copies"))
     whole = got.agg(F.sum("mixed_tokens").alias("whole"))

@@ -2,8 +2,8 @@
 
 One bounded-quantifier pattern consumes a text from left to right.  Its alternatives are
 ordered by boundary strength; each takes as much as fits under the limit, and the last takes
-characters.  Everything is Spark SQL: regexp_extract_all yields the cores, a running length
-yields their offsets, and each piece starts up to ``overlap`` characters before its core, at a
+characters.  Everything is Spark SQL: regexp_extract_all yields the cores, sums by block
+yield their offsets, and each piece starts up to ``overlap`` characters before its core, at a
 word start where the lookback window holds one.
 """
 
@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pieces whose lengths are added up together.
+BLOCK = 256
+
 
 def core_pattern(room: int) -> str:
     """The ordered alternatives for cores of at most ``room`` characters.
@@ -45,20 +48,27 @@ def split_oversized(df: DataFrame, keys: list[str], text: str = "text", limit: i
         raise ValueError("overlap must leave room for a core")
     room = limit - overlap
     big = df.select(*keys, F.col(text).alias("__t")).where(F.length("__t") > limit).distinct()
-    cores = F.regexp_extract_all("__t", F.lit(core_pattern(room)), 0)
-    sized = big.select("*", F.transform(cores, F.length).alias("__n"))
-    parts = sized.select(*keys, "__t", F.size("__n").alias("n_pieces"), F.posexplode(F.arrays_zip(F.col("__n").alias("n"), _running(F.col("__n")).alias("end"))).alias("__i", "__p"))
-    start = F.col("__p.end") - F.col("__p.n")
-    window = F.substring("__t", F.greatest(start - overlap, F.lit(0)) + 1, F.least(start, F.lit(overlap)))
+    # an exploded row carries one core and the few characters before it, so a text is read a fixed number of times whatever its length
+    cores = big.select(*keys, F.regexp_extract_all("__t", F.lit(core_pattern(room)), 0).alias("__c"))
+    back = -(-overlap // (room // 2))  # cores that a lookback window may reach over
+    c = F.col("__c")
+    window = lambda i: F.right(F.array_join(F.slice(c, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), ""), F.lit(overlap)) if overlap else F.lit("")
+    sized = cores.select(*keys, "__c", F.transform(c, F.length).alias("__n"))
+    sums = sized.select(*keys, "__c", "__n", _block_starts(F.col("__n")).alias("__b"))
+    first = lambda i: F.get(F.col("__b"), (i / BLOCK).cast("int")) + _total(F.slice(F.col("__n"), (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    parts = sums.select(*keys, F.size("__n").alias("n_pieces"), F.posexplode(F.transform(c, lambda core, i: F.struct(core.alias("core"), window(i).alias("before"), first(i).alias("start")))).alias("__i", "__p"))
     # the longest suffix of the window that begins at a word; the whole window where it has no gap
-    tail = F.regexp_extract(window, r"^\S*\s([\s\S]*)$", 1)
-    lead = F.when(start == 0, 0).when(F.length(tail) > 0, F.length(tail)).otherwise(F.length(window))
-    return parts.select(
-        *keys, (F.col("__i") + 1).alias("piece_no"), "n_pieces", start.alias("start"), lead.alias("lead"),
-        F.substring("__t", start - lead + 1, lead + F.col("__p.n")).alias("piece"),
-    )
+    tail = F.regexp_extract("__p.before", r"^\S*\s([\s\S]*)$", 1)
+    lead = F.when(F.length(tail) > 0, tail).otherwise(F.col("__p.before"))
+    return parts.select(*keys, (F.col("__i") + 1).alias("piece_no"), "n_pieces", F.col("__p.start").alias("start"), F.length(lead).alias("lead"), F.concat(lead, "__p.core").alias("piece"))
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
 
 
-def _running(lengths: Column) -> Column:
-    """Inclusive running sums of an array of lengths."""
-    return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, n: a + n))
+def _block_starts(lengths: Column) -> Column:
+    """Where each block of lengths starts: sums of the blocks before it, so that no offset adds up a whole text."""
+    blocks = F.sequence(F.lit(0), ((F.size(lengths) - 1) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda b: _total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    return F.transform(blocks, lambda b: _total(F.slice(sums, F.lit(1), b)))

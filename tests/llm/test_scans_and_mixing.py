@@ -2,7 +2,7 @@
 
 import random
 
-from factloom.llm.mixing import fit_budget, mixture, plan_mixture
+from factloom.llm.mixing import fit_budget, mixture, plan_mixture, subset_sum
 from factloom.llm.scans import Editor, Perceptron, repaired
 
 SENTENCES = ["The laboratory supervisor should verify that the battery door has been aligned at the bedside.", "Allow the membrane cap to equilibrate for 15 hours before venous plasma is introduced.",
@@ -66,23 +66,44 @@ def test_perceptron_learns():
 
 def test_budget_is_hit_exactly():
     rnd = random.Random(9)
-    for _ in range(60):
+    for _ in range(150):
         h = {rnd.randrange(1, 60): rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 9))}
-        budget = rnd.randrange(0, sum(n * c for n, c in h.items()) + 5)
+        most = rnd.randrange(1, 4)
+        whole = sum(n * c for n, c in h.items()) * most
+        budget = rnd.randrange(0, whole + 5)
         sums = {0}
         for n, c in h.items():
-            sums = {s + n * k for s in sums for k in range(c + 1)}
-        got = fit_budget(h, budget)
+            sums = {s + n * k for s in sums for k in range(c * most + 1)}
+        got = fit_budget(h, budget, most)
         total = sum(n * c for n, c in got.items())
-        assert all(c <= h[n] for n, c in got.items()) and total <= budget
-        if max(h) * 4 >= budget:
+        assert all(c <= h[n] * most for n, c in got.items()) and total <= budget
+        if max(h) * 4 >= min(budget, whole - budget):
             assert total == max(s for s in sums if s <= budget)
     assert fit_budget({}, 5) == {} and fit_budget({3: 2}, 0) == {}
+    big = {3_000_000: 5, 2_000_001: 4, 900: 50, 7: 300}
+    got = fit_budget(big, 11_000_123)
+    assert 8_000_123 <= sum(n * c for n, c in got.items()) <= 11_000_123 and all(c <= big[n] for n, c in got.items())
+
+
+def test_subset_sum_reads_back_its_choice():
+    rnd = random.Random(4)
+    for _ in range(200):
+        sizes = {rnd.randrange(1, 40): rnd.randrange(1, 12) for _ in range(5)}
+        target = rnd.randrange(1, 300)
+        got = subset_sum(sizes, target)
+        assert all(k <= sizes[n] for n, k in got.items())
+        over = subset_sum(sizes, target, at_least=True)
+        assert all(k <= sizes[n] for n, k in over.items())
+        sums = {0}
+        for n, c in sizes.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        assert sum(n * k for n, k in got.items()) == max(s for s in sums if s <= target)
+        assert sum(n * k for n, k in over.items()) == min((s for s in sums if s >= target), default=max(sums))
 
 
 def test_plan_reports_short_and_absent_sources():
     plans = {p["source"]: p for p in plan_mixture({"a": {10: 10}, "b": {5: 2}}, {"a": (0.5, 2), "b": (0.4, 3), "c": (0.1, 9)}, total=200)}
-    assert plans["c"]["budget"] == 0 and plans["b"]["rounds"] == 3 and plans["a"]["budget"] == 111
+    assert plans["c"]["budget"] == 0 and plans["b"]["uses"] == {5: 6} and plans["a"]["budget"] == 111 and plans["a"]["uses"] == {10: 11}
 
 
 def test_mixture(spark):

@@ -38,6 +38,14 @@ def test_pieces_prefer_strong_boundaries(spark):
         split_oversized(spark.createDataFrame([(1, text)], "id int, text string"), ["id"], overlap=1000)
 
 
+def test_pieces_of_a_very_long_text(spark):
+    text = "".join(f"Sentence number {i} of this text ends here. " for i in range(20_000))
+    rows = split_oversized(spark.createDataFrame([(1, text), (1, text[:5000])], "id int, text string"), ["id"], limit=60, overlap=40).orderBy("n_pieces", "piece_no").collect()
+    whole = [r for r in rows if r.n_pieces > 1000]
+    assert "".join(r.piece[r.lead:] for r in whole) == text and all(text[r.start:].startswith(r.piece[r.lead:]) for r in whole)
+    assert all(len(r.piece) <= 60 for r in rows) and len(rows) > len(whole)
+
+
 def test_pairs_against_brute_force(spark):
     rnd = random.Random(2)
     rows = [(rnd.randrange(400), rnd.choice(["Hot"] * 9 + [f" i{rnd.randrange(9)} ", "", None, f"P{rnd.randrange(4)}"])) for _ in range(3000)]
@@ -96,6 +104,8 @@ def test_leaks_against_brute_force(spark):
     held, sought = of(docs), of(items)
     want = {(i, d) for i, a in sought for d, b in held if a & b}
     assert got == want and want
+    parts = leaked_items(spark.createDataFrame(docs, "d int, text string"), spark.createDataFrame(items, "i int, text string"), "d", "i", part_words=100)
+    assert {tuple(r) for r in parts.collect()} == want  # a set searched in parts
     assert WuManber([], 12).search("any text " * 20) == set()
     assert leaked_items(spark.createDataFrame([], "d int, text string"), spark.createDataFrame([], "i int, text string"), "d", "i").count() == 0
 

@@ -1,12 +1,12 @@
 """Lines repeated across one source's documents (problem 6).
 
-Lines are normalised (case, white space, digit runs) and parsed into templates by a fixed-depth
-token tree: below a source and a token count, the first ``depth`` tokens choose the node, tokens
-with digits becoming wildcard slots; lines at one node share a template.  A tree is grown per
-partition and carries, per template, its (document, line) cover deduplicated; trees are merged by a
-shuffle on the node.  Templates that cover too few documents are dropped there, which is exact,
-as a template covers at least the documents of each of its lines.  Lines of the surviving
-templates are then counted one by one.
+Lines are normalised (case, white space, digit runs) and parsed into templates by fixed-depth token
+trees: below a source come the token count and then one level per token.  A branch that covers too
+few documents to belong to a repeated line becomes the wildcard slot of its level, so slots are
+learned, not listed.  Every task grows the branch counts of its own lines and the trees are merged by a
+shuffle of those counts.  A template that covers many documents of its source is removed.  The merge
+is exact: all branches of a line cover at least the line's own documents, so a line repeated often enough
+is its own template without a slot, and its template's cover is its own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from factloom.session import small, stored
 
+SLOT = "<*>"
+
 
 def normal_line(c: Column) -> Column:
     """Lower case, white space (space, tab, carriage return) collapsed and trimmed, digit runs to one 0."""
@@ -23,20 +25,15 @@ def normal_line(c: Column) -> Column:
     return F.regexp_replace(squeezed, "[0-9]+", "0")
 
 
-def template_node(line: Column, depth: int) -> Column:
-    """The tree node of a normalised line: token count and leading tokens, wildcards for numbers."""
-    tokens = F.split(line, " ")
-    head = F.transform(F.slice(tokens, 1, depth), lambda t: F.when(t.contains("0"), F.lit("<*>")).otherwise(t))
-    return F.concat_ws(" ", F.size(tokens).cast("string"), head)
-
-
 def repeated_lines(df: DataFrame, item: str, document: str, source: str, text: str = "text", section: str = "section_path",
-                   min_documents: int = 5, min_share: float = 0.04, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+                   min_documents: int = 5, min_share: float = 0.04, literal_share: float = 0.7, depth: int = 24) -> tuple[DataFrame, DataFrame]:
     """(occurrences, templates) of lines that repeat excessively within a source.
 
-    occurrences: item, line_no (from 1, blank lines counted), source, line (normalised), for every
-    line found in at least ``min_documents`` documents and ``min_share`` of the source's documents.
-    templates: source, node, documents.  Blank lines and lines equal to an element of the item's own
+    occurrences: item, line_no (from 1, blank lines counted), source, template, documents and literal, for every line whose
+    template covers at least ``min_documents`` documents and ``min_share`` of the source's documents; literal marks
+    templates without a slot, that is lines that themselves repeat so often.  A template with slots counts if ``literal_share`` of its
+    tokens are literal and none but the first ``depth`` levels hold slots (tokens beyond stay literal).
+    templates: source, template, documents, literal.  Blank lines and lines equal to an element of the item's own
     section path are neither considered nor counted.  Null texts have no lines; null sources form a
     source of their own; repeated rows give one occurrence; empty input gives empty results.
     """
@@ -44,25 +41,30 @@ def repeated_lines(df: DataFrame, item: str, document: str, source: str, text: s
         df.select(F.col(item).alias("item"), F.col(document).alias("doc"), F.col(source).alias("source"), F.col(section).alias("path"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("p", "raw"))
         .select("item", "doc", "source", (F.col("p") + 1).cast("bigint").alias("line_no"), normal_line(F.col("raw")).alias("line"), F.transform("path", normal_line).alias("path"))
         .where((F.col("line") != "") & ~F.coalesce(F.array_contains("path", F.col("line")), F.lit(False)))
-        .select("item", "doc", "source", "line_no", "line", template_node(F.col("line"), depth).alias("node"))
-    )
-    sizes = df.groupBy(F.col(source).alias("s")).agg(F.countDistinct(document).alias("n"))
-    enough = lambda cover, n: (cover >= min_documents) & (cover >= F.lit(min_share) * n)
-    # one shuffle on (source, node, line, doc) serves both counts; hot sources spread over their lines
-    cover = stored(lines.groupBy("source", "node", "line", "doc").agg(F.lit(1).alias("one")).drop("one"), "line-cover")
-    templates = (
-        cover.groupBy("source", "node", "doc").agg(F.lit(1).alias("one")).groupBy("source", "node").agg(F.count("doc").alias("documents"))
-        .join(small(sizes), F.col("source").eqNullSafe(F.col("s"))).where(enough(F.col("documents"), F.col("n"))).select("source", "node", "documents", "n")
     )
-    templates = stored(templates, "line-templates")
-    t = templates.select(F.col("source").alias("ts"), F.col("node").alias("tn"), "n")
-    found = (
-        cover.join(small(t), F.col("source").eqNullSafe(F.col("ts")) & (F.col("node") == F.col("tn")))
-        .groupBy("source", "line", "n").agg(F.count("doc").alias("documents")).where(enough(F.col("documents"), F.col("n")))
-    )
-    f = small(stored(found.select(F.col("source").alias("fs"), F.col("line").alias("fl"), F.col("documents").alias("line_documents")), "line-found"))
-    hits = lines.join(f, F.col("source").eqNullSafe(F.col("fs")) & (F.col("line") == F.col("fl")))
-    return hits.select("item", "line_no", "source", "line", "line_documents").distinct(), templates.drop("n")
+    own = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))  # a null source is a source
+    lines = stored(lines.select("item", "doc", own.alias("s"), "line_no", "line"), "lines")
+    needed = F.greatest(F.lit(float(min_documents)), F.lit(min_share) * F.count_distinct(document))
+    sizes = stored(df.select(document, F.col(source).alias("source")).groupBy(own.alias("s")).agg(needed.alias("needed")), "line-sources")
+    cover = stored(lines.select("s", "line", "doc").distinct(), "line-cover")  # hot sources spread over their lines
+    # --- trees: branch counts are combined in each task before they are merged, sparse branches become slots
+    tokens = F.split("line", " ")
+    branches = cover.select("s", F.size(tokens).alias("n"), F.posexplode(F.slice(tokens, 1, depth)).alias("level", "token")).groupBy("s", "n", "level", "token").agg(F.count("*").alias("k"))
+    dense = branches.join(small(sizes), "s").where(F.col("k") >= F.col("needed"))
+    trees = stored(dense.groupBy("s", "n").agg(F.collect_set(F.concat_ws(" ", "level", "token")).alias("kept")), "line-trees")  # at most 1 / min_share branches per level and line of a document
+
+    def templated(of: DataFrame, *more: str) -> DataFrame:
+        with_tree = of.select("*", F.size(tokens).alias("n")).join(small(trees), ["s", "n"])
+        slotted = F.transform(tokens, lambda t, i: F.when((i >= depth) | F.array_contains(F.col("kept"), F.concat_ws(" ", i.cast("string"), t)), t).otherwise(F.lit(SLOT)))
+        parsed = with_tree.select("s", *more, slotted.alias("t"))
+        literal = F.size(F.filter("t", lambda x: x != SLOT))
+        return parsed.where(literal >= F.ceil(literal_share * F.size("t"))).select("s", *more, F.array_join("t", " ").alias("template"), (literal == F.size("t")).alias("literal"))
+
+    counts = templated(cover, "doc").groupBy("s", "template", "literal", "doc").agg(F.lit(1).alias("one")).groupBy("s", "template", "literal").agg(F.count("doc").alias("documents"))
+    found = stored(counts.join(small(sizes), "s").where(F.col("documents") >= F.col("needed")).drop("needed"), "line-templates")
+    hits = templated(lines, "item", "line_no").join(small(found), ["s", "template", "literal"]).distinct()
+    named = F.when(F.col("s") != "null", F.substring("s", 2, 1 << 30)).cast(df.schema[source].dataType).alias("source")
+    return hits.select("item", "line_no", named, "template", "documents", "literal"), found.select(named, "template", "documents", "literal")
 
 
 def without_repeated_lines(df: DataFrame, occurrences: DataFrame, item: str, text: str = "text") -> DataFrame:

@@ -41,16 +41,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir)[1].select(F.col("item").alias("chunk_id"), "line_no").distinct()
+    return _lines(spark, sf_dir)[1].where("literal").select(F.col("item").alias("chunk_id"), "line_no").distinct()
 
 
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, hits, _ = _lines(spark, sf_dir)
-    return without_repeated_lines(chunks, hits, "chunk_id")
+    return without_repeated_lines(chunks, hits.where("literal"), "chunk_id")
 
 
 def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir)[2]
+    return _lines(spark, sf_dir)[2].withColumnRenamed("source", "source_system")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,12 @@ SQL = {
     "p4_found": _P4 + "SELECT canonical_a, canonical_b FROM r",
     "p4_pairs": _P4 + "SELECT canonical_a, canonical_b, n_a, n_b, n_ab, round(l, 6) AS lift, round(ln(l), 6) AS pmi FROM r",
     "p6_found": _P6 + "SELECT DISTINCT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM k JOIN g ON k.source_system IS NOT DISTINCT FROM g.source_system AND k.line = g.line",
+    "p6_cleaned": _P6 + r"""
+, h AS (SELECT DISTINCT chunk_id, line_no FROM k JOIN g ON k.source_system IS NOT DISTINCT FROM g.source_system AND k.line = g.line),
+z AS (SELECT DISTINCT chunk_id, text FROM chunks),
+u AS (SELECT chunk_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM z WHERE text IS NOT NULL)
+SELECT u.chunk_id, coalesce(string_agg(raw, chr(10) ORDER BY u.line_no) FILTER (WHERE h.line_no IS NULL), '') AS text FROM u LEFT JOIN h ON u.chunk_id = h.chunk_id AND u.line_no = h.line_no
+GROUP BY u.chunk_id, u.text UNION ALL SELECT chunk_id, text FROM z WHERE text IS NULL""",
     "p8_found": _P8 + "SELECT item_id, doc_id FROM r",
     "p8_items": _P8 + "SELECT item_id, count(*) AS documents FROM r GROUP BY 1",
 }

@@ -81,7 +81,8 @@ def test_repeated_lines_against_brute_force(spark):
     rows = [(i, rnd.randrange(60), rnd.choice(["a", "a", "a", None]), rnd.choice([["Intro"], [], None]), "\n".join(rnd.choice(pool + [f"own line {i} of text here"]) for _ in range(4))) for i in range(150)]
     rows += [(900, 1, "a", [], None), (901, 2, "a", None, "")]
     df = spark.createDataFrame(rows * 2, "id int, doc int, src string, section_path array<string>, text string").selectExpr("*", "'n' AS node", "1 AS line")
-    hits, templates = repeated_lines(df, "id", "doc", "src")
+    every, templates = repeated_lines(df, "id", "doc", "src")
+    hits = every.where("literal")
     assert {(r["item"], r.line_no) for r in hits.collect()} == _lines(rows)
     assert templates.count() > 0
     clean = {r.id: r.text for r in without_repeated_lines(df, hits, "id").collect()}
@@ -92,6 +93,15 @@ def test_repeated_lines_against_brute_force(spark):
     assert repeated_lines(empty, "id", "doc", "src")[0].count() == 0
 
 
+def test_templates_with_a_changing_word(spark):
+    rnd = random.Random(7)
+    rows = [(i, i, "a", [], "\n".join(rnd.sample([f"shared by name{chr(97 + i % 26)}{chr(97 + i // 26)} on the portal today", "terms of use", f"w{chr(97 + i // 26)}{chr(97 + i % 26)} k{chr(97 + i % 26)}{chr(97 + i // 26)}x b"], 3))) for i in range(100)]
+    hits, templates = repeated_lines(spark.createDataFrame(rows, "id int, doc int, src string, section_path array<string>, text string"), "id", "doc", "src")
+    assert {(r.template, r.documents, r.literal) for r in templates.collect()} == {("shared by <*> on the portal today", 100, False), ("terms of use", 100, True)}
+    want = {(i, no) for i, _, _, _, t in rows for no, x in enumerate(t.split("\n"), 1) if x.startswith(("shared", "terms"))}
+    assert {(r["item"], r.line_no) for r in hits.collect()} == want
+
+
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(4)
     vocab = ["one", "two", "Three", "four", "fünf", "six7"]

@@ -11,7 +11,7 @@ from factloom.llm.cooccurrence import item_pairs
 from factloom.llm.furniture_lines import repeated_lines, without_repeated_lines
 from factloom.llm.leakage import WuManber, leaked_items, words
 from factloom.llm.pieces import split_oversized
-from factloom.llm.truncation import open_structures, truncated_documents, truncation_by_source
+from factloom.llm.truncation import open_structures, truncated_documents, truncation_by_source, without_marks
 
 
 def test_pieces_give_back_the_text(spark):
@@ -123,6 +123,17 @@ def test_leaks_against_brute_force(spark):
 def test_stack_automaton():
     assert open_structures("a (b [c] d") == "(" and open_structures("(a) “b” <i>x</i>") == ""
     assert open_structures("see <a href='x") == "<" and open_structures("") == ""
+    assert open_structures('<div class="a">\nHe paid (in full.\nAll done.') == "<div>(" and open_structures('She said "all is well.\nDone.') == '"'
+    assert open_structures('{"a": [1, 2\nDone.') == "{[" and open_structures('{"a": [1, 2]}') == "" and open_structures('a 5" tube, \\"x') == "" and open_structures("1) one\n2) two") == ""
+    assert without_marks("All went to th... [more] ") == ("All went to th", True) and without_marks("spread more") == ("spread more", False) and without_marks("x" + "." * 9000) == ("x", True)
+
+
+def test_structures_are_judged_by_the_source(spark):
+    rows = [(i, "tidy", f"Note {i} (see above) is closed.\nAll was checked twice, part {i}.") for i in range(60)] + [(100, "tidy", "The list (one, two.\nAll was checked twice, part 9.")]
+    rows += [(200 + i, "loose", f"Note {i} (see above is not closed.\nAll was checked twice, part {i}.") for i in range(30)]
+    rows += [(300, "alone", '<div class="a">\nText of a page.'), (301, "lone", '{"a": [1, 2\nText of a page.'), (302, "single", 'He said "it is\nText of a page.')]
+    got = {r.doc_id: r for r in truncated_documents(spark.createDataFrame(rows, "doc_id int, source string, text string"), "doc_id", "source").collect()}
+    assert {i for i, r in got.items() if r.truncated} == {100, 300, 301, 302} and got[100].reasons == "structure"
 
 
 def test_truncation(spark):

@@ -3,7 +3,7 @@
 import random
 
 from factloom.llm.mixing import fit_budget, mixture, plan_mixture, subset_sum
-from factloom.llm.scans import Editor, Perceptron, repaired
+from factloom.llm.scans import Editor, Perceptron, learned_channel, repaired
 
 SENTENCES = ["The laboratory supervisor should verify that the battery door has been aligned at the bedside.", "Allow the membrane cap to equilibrate for 15 hours before venous plasma is introduced.",
              "An updated deviation report was mailed to the operator at every site that had received the reagent pack.", "Wipe the waste bottle with a lint-free cloth and request a new thermal printer.",
@@ -59,6 +59,25 @@ def test_editor_on_held_out_words():
     assert e.joins("bat", "tery") and not e.joins("lint", "free")
 
 
+def test_channel_is_learned_from_the_corpus():
+    words = ["kestrel", "kettle", "skipper", "market", "basket", "blanket", "monkey", "rocket", "ticket", "token", "awake", "broken", "spoken", "marker"]
+    common = {w: 900 for w in words}
+    rare = {w.replace("k", "#", 1): 1 for w in words} | {w + "s": 2 for w in words} | {"quibble": 1, "zorvath": 2}
+    channel = learned_channel(common, rare)
+    assert channel == {"#": ["k"]}
+    held = {"tric#le": "trickle", "stro#e": "stroke", "pic#le": "pickle"}  # a confusion outside the fixed table, in words not seen before
+    e = Editor(common | {w: 800 for w in held.values()}, channel).train(["zorvath", "quibble"])
+    assert {x: e.word(x) for x in held} == held and all(e.word(w) == w for w in [*common, "zorvath", "quibble"])
+    assert learned_channel({}, rare) == {} and learned_channel(common, {}) == {}
+
+
+def test_long_words_are_searched_to_their_end():
+    long = "electroencephalographically-microspectrophotometrically"
+    e = Editor({long: 500, "the": 900}, {})
+    damaged = long[:30] + long[30:].replace("l", "1", 2)
+    assert e.candidates(damaged)[long] == ("1>l", "1>l")
+
+
 def test_perceptron_learns():
     m = Perceptron().fit([([["a"], ["b"]], 1), ([["c"], ["d"]], 0)] * 5)
     assert m.score(["b"]) > m.score(["a"]) and m.score(["c"]) >= m.score(["d"])

@@ -67,7 +67,8 @@ def stem_prefix(t: Column) -> Column:
     cut = F.lit(None).cast("string")
     for end in reversed(["ies", "ing", "ed", "er", "es", "s"]):
         stem = F.substring(t, F.lit(1), F.length(t) - len(end))
-        cut = F.when(t.endswith(end), F.when(F.length(stem) >= 4, stem).otherwise(t)).otherwise(cut)
+        ends = t.endswith(end) if end != "s" else t.endswith("s") & ~t.endswith("ss")
+        cut = F.when(ends, F.when(F.length(stem) >= 4, stem).otherwise(t)).otherwise(cut)
     return F.coalesce(cut, t)
 
 
@@ -84,10 +85,6 @@ def containment(a: Column | str, b: Column | str) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def iso_date(y: Column, m: Column | None = None, d: Column | None = None, last_year: int = 2027) -> Column:
     """A date from parts, month kept in 1..12 and day in 1..28; null outside 2000 to ``last_year``."""
     part = lambda c, top: F.greatest(F.lit(1), F.least(F.lit(top), F.coalesce(F.expr("try_cast(null as int)") if c is None else c.try_cast("int"), F.lit(1))))
@@ -95,8 +92,8 @@ def iso_date(y: Column, m: Column | None = None, d: Column | None = None, last_y
     return F.when(year.between(2000, last_year), F.date_format(F.make_date(year, part(m, 12), part(d, 28)), "yyyy-MM-dd"))
 
 
-def classify_sentence(s: Column | str, last_count: Column | int = 3) -> tuple[Column, Column]:
-    """(kind, quality) of a sentence; last_count is how often its last word occurs in the corpus."""
+def classify_sentence(s: Column | str, last_count: Column | int = 3) -> Column:
+    """struct(kind, quality) of a sentence, so that each test runs once; last_count is how often its last word occurs in the corpus."""
     t = F.regexp_replace(s, r"^\s+|\s+\z", "")
     parts = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     n, k = F.length(t), F.size(parts)
@@ -117,7 +114,7 @@ def classify_sentence(s: Column | str, last_count: Column | int = 3) -> tuple[Co
         ((digit > 0.18) | ((k > 8) & (numeric > 0.30 * k)) | ((k > 10) & (short > 0.72 * k) & (numeric > 0)), "table", F.lit(0.1)),
         (~ended & (k <= 9) & (caps > 0.6 * k), "header", F.lit(0.15)),
     ]
-    kind, quality = F.lit("prose"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), prose))
+    graded = F.struct(F.lit("prose").alias("kind"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), prose)), 3).alias("quality"))
     for test, name, q in reversed(rules):
-        kind, quality = F.when(test, name).otherwise(kind), F.when(test, q).otherwise(quality)
-    return kind, F.round(quality, 3)
+        graded = F.when(test, F.struct(F.lit(name).alias("kind"), q.alias("quality"))).otherwise(graded)
+    return graded

@@ -16,8 +16,9 @@ from factloom.functions.text import content_tokens, tokens
 
 def intent_of(question: Column | str) -> Column:
     """Name of the intent with most cues found; ties go to the one declared first, none is GENERAL."""
-    q = F.lower(question)
-    scored = [(name, sum((q.rlike(c).cast("int") for c in cues[1:]), q.rlike(cues[0]).cast("int"))) for name, cues, *_ in L.INTENTS]
+    q = F.col(question) if isinstance(question, str) else question
+    hits = lambda c: q.rlike(L.cue(c)).cast("int")
+    scored = [(name, sum((hits(c) for c in cues[1:]), hits(cues[0]))) for name, cues, *_ in L.INTENTS]
     best, name = F.lit(0), F.lit(L.GENERAL[0])
     for n, s in scored:
         name, best = F.when(s > best, n).otherwise(name), F.greatest(best, s)
@@ -34,7 +35,7 @@ def focus_of(question: Column | str, terms: list[str] = L.FOCUS_TERMS) -> Column
 def evidence_prior(intent: Column, record_type: Column, source_type: Column, quality: Column | None = None) -> Column:
     """Product of an intent's weights for the record and source type, times 0.55 + 0.45 quality where it is known."""
     out = F.lit(1.0)
-    for name, _, _, prefer, penalise in [*L.INTENTS, L.GENERAL]:
+    for name, _, _, prefer, penalise, _ in [*L.INTENTS, L.GENERAL]:
         for weights in (prefer, penalise):
             for kind, w in weights.items():
                 hit = (intent == name) & (F.coalesce(record_type, F.lit("")).eqNullSafe(F.lit(kind)) | F.coalesce(source_type, F.lit("")).eqNullSafe(F.lit(kind)))
@@ -144,7 +145,7 @@ def sentence_relevance(candidates: DataFrame) -> DataFrame:
     cover = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", own)) / F.size("terms")).otherwise(0.0)
     cue = F.lit(0.0)
     for name, _, cues, *_ in L.INTENTS:
-        best = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(F.lower("sentence").rlike(p), w).otherwise(0.0) for p, w in cues])
+        best = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(F.col("sentence").rlike(L.cue(p)), w).otherwise(0.0) for p, w in cues])
         cue = F.when(F.col("intent") == name, best).otherwise(cue)
     focus = F.when(F.size("focus") > 0, F.size(F.array_intersect("focus", own)) / F.size("focus")).otherwise(0.5)
     place = 1 - F.least(F.lit(1.0), F.col("pos") / F.greatest("total", F.lit(1))) * 0.35

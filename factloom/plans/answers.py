@@ -186,11 +186,11 @@ def insight_timeline(spark, d):
 
 _STOP = ", ".join(f"'{w}'" for w in L.QUESTION_STOP)
 _CT = f"list_filter({_TOK.format('text')}, lambda x: x NOT IN ({_STOP}))"
-_CUES = {n: " + ".join(f"regexp_matches(lower(text), '{c}')::INT" for c in cues) for n, cues, *_ in L.INTENTS}
+_CUES = {n: " + ".join(f"regexp_matches(text, '{L.cue(c)}')::INT" for c in cues) for n, cues, *_ in L.INTENTS}
 _BEST = "greatest(" + ", ".join(f"({s})" for s in _CUES.values()) + ")"
 _INTENT = "CASE WHEN " + _BEST + " = 0 THEN 'GENERAL' " + " ".join(f"WHEN ({s}) = {_BEST} THEN '{n}'" for n, s in _CUES.items()) + " END"
 _FOC = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b{t}\\b') THEN '{t}' END" for t in sorted(L.FOCUS_TERMS, key=lambda t: (-len(t), t))) + "], lambda x: x IS NOT NULL), ',')"
-_PRIOR = " * ".join(f"CASE WHEN intent = '{n}' AND (coalesce(record_type, '') = '{k}' OR coalesce(source_type, '') = '{k}') THEN {w}::DOUBLE ELSE 1 END" for n, _, _, p, q in [*L.INTENTS, L.GENERAL] for ws in (p, q) for k, w in ws.items())
+_PRIOR = " * ".join(f"CASE WHEN intent = '{n}' AND (coalesce(record_type, '') = '{k}' OR coalesce(source_type, '') = '{k}') THEN {w}::DOUBLE ELSE 1 END" for n, _, _, p, q, _ in [*L.INTENTS, L.GENERAL] for ws in (p, q) for k, w in ws.items())
 _EV = f"""WITH d0 AS (SELECT * FROM documents), t AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents), s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
 p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t), po AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 te AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM po, s GROUP BY term),

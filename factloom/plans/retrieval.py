@@ -149,7 +149,7 @@ _FUSE = _RUNS + f""", f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60
 FROM (SELECT *, 'bm25' AS r FROM a WHERE rank <= 40 UNION ALL SELECT *, 'coverage' FROM c WHERE rank <= 40) GROUP BY ALL), ff AS (SELECT *, {_RANK} FROM f)"""
 _SYN = ", ".join(f"('{a}', '{b}')" for a, bs in L.SYNONYMS.items() for b in bs)
 _STEM = "CASE " + " ".join(
-    f"WHEN ends_with(term, '{e}') THEN CASE WHEN length(term) - {len(e)} >= 4 THEN left(term, length(term) - {len(e)}) ELSE term END" for e in ("ies", "ing", "ed", "er", "es", "s")) + " ELSE term END"
+    f"WHEN ends_with(term, '{e}'){' AND NOT ends_with(term, chr(115) || chr(115))' if e == 's' else ''} THEN CASE WHEN length(term) - {len(e)} >= 4 THEN left(term, length(term) - {len(e)}) ELSE term END" for e in ("ies", "ing", "ed", "er", "es", "s")) + " ELSE term END"
 _FACET = " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value FROM documents" for c in ("lang", "source", "doc_type", "product"))
 _FW = ", ".join(f"'{w}'" for w in L.FUNCTION_WORDS)
 

@@ -45,8 +45,7 @@ def first_seen_sources(spark, d):
 def line_kinds(spark, d):
     """Kind and quality of every chunk line, each line taken as one sentence of attested words."""
     lines = document_lines(table(spark, d, "chunks").dropDuplicates(["chunk_id"]), "chunk_id")
-    kind, quality = classify_sentence("line", 3)
-    return lines.select(F.col("doc").alias("chunk_id"), "line_no", kind.alias("kind"), quality.alias("quality"))
+    return lines.withColumn("graded", classify_sentence("line", 3)).select(F.col("doc").alias("chunk_id"), "line_no", "graded.kind", "graded.quality")
 
 
 def _graded(spark, d):

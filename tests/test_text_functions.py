@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.functions.sentences import repair, sentences, split_sentences
+from factloom.functions.sentences import Counts, repair, repaired_text, sentences, split_sentences
 from factloom.functions.text import classify_sentence, containment, degenerate, jaccard, looks_like_heading, name_tokens, sanitize, stem_prefix, tokens
 from factloom.operators.structure import dated
 
@@ -27,7 +27,7 @@ def test_headings(spark):
 
 
 def test_stems(spark):
-    assert [one(spark, v, stem_prefix) for v in ("batteries", "measuring", "strips", "lens", "red")] == ["batter", "measur", "strip", "lens", "red"]
+    assert [one(spark, v, stem_prefix) for v in ("batteries", "measuring", "strips", "lens", "red", "glass")] == ["batter", "measur", "strip", "lens", "red", "glass"]
 
 
 def test_set_measures(spark):
@@ -42,16 +42,18 @@ def test_sentences(spark):
     assert all(len(s) <= 340 for s in out) and split_sentences("") == [] and split_sentences(None) == []
     assert split_sentences("Parts: • one • two • three") == ["Parts:", "one", "two", "three"]
     rows = sentences(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string"), "id", "t").collect()
-    assert {r.id for r in rows} == {1} and all(text[r.offset:].startswith(r.sentence[:20]) for r in rows if r.offset >= 0)
+    assert {r.id for r in rows} == {1} and all(text[r.offset: r.offset + r.length].replace("\n", " ") == r.sentence for r in rows)
+    assert split_sentences("It is fine (A.B. said). U.S. rules apply! Really? Yes") == ["It is fine (A.B. said).", "U.S. rules apply!", "Really?", "Yes"]
+    listed = "Contents of the box " + "and some more of it " * 16 + "1) Open the lid 2) Close the lid again"
+    assert split_sentences(listed)[-2:] == ["1) Open the lid", "2) Close the lid again"]
 
 
 def test_sentence_kinds(spark):
     cases = [("Short one.", "fragment"), ("The meter is intended for use with whole blood samples only.", "prose"), ("Copyright 2020 by the makers of this device.", "legal"),
              ("Quick Reference Guide.........12", "header"), ("Storage And Handling Of The Strips", "header"), ("10.2 11.3 12.4 13.5 14.6 15.7 16.8", "equation"), ("Level 10.2 11.3 12.4 mean of all those", "table")]
     df = spark.createDataFrame(cases, "s string, want string")
-    kind, quality = classify_sentence("s", 3)
-    assert all(r.kind == r.want and 0 <= r.q <= 1 for r in df.select("want", kind.alias("kind"), quality.alias("q")).collect())
-    assert spark.createDataFrame([("The reading of the strip was hig",)], "s string").select(classify_sentence("s", 0)[0]).first()[0] == "fragment"
+    assert all(r.kind == r.want and 0 <= r.q <= 1 for r in df.withColumn("g", classify_sentence("s", 3)).select("want", "g.kind", F.col("g.quality").alias("q")).collect())
+    assert spark.createDataFrame([("The reading of the strip was hig",)], "s string").select(classify_sentence("s", 0)["kind"]).first()[0] == "fragment"
 
 
 def test_repair():
@@ -60,6 +62,16 @@ def test_repair():
     assert repair("re - sponsible and point -of-care", vocab) == "responsible and point-of-care"
     assert repair("in take of sample s .", vocab) == "in take of samples."
     assert repair("Page 3 of 9 The text", vocab) == "The text" and repair("", vocab) == ""
+    assert repair("The rate is 5 % here. K123456 - Page 4 of 9 It goes on", vocab) == "The rate is 5% here. It goes on"
+    assert repair("AppendixAccuracy", vocab, frozenset({"appendixaccuracy"})) == "AppendixAccuracy" and repair("a\n\n\n\nb ﬁne", vocab) == "a\n\nb fine"
+
+
+def test_counts_travel_as_hashes(spark):
+    rows = [(f"w{i}", i) for i in range(2, 900)] + [("größe", 7)]
+    c = Counts.of(spark.createDataFrame(rows, "word string, n bigint"))
+    assert all(c.get(w, 0) == n for w, n in rows) and c.get("none", 0) == 0 and len(c) == len(rows)
+    got = repaired_text(spark.createDataFrame([(1, "mea surement"), (2, None)], "id int, text string"), "id", spark.createDataFrame([("measurement", 5)], "word string, n bigint"))
+    assert {tuple(r) for r in got.collect()} == {(1, "measurement"), (2, None)}
 
 
 def test_dates(spark):

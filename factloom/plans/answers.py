@@ -12,11 +12,11 @@ from factloom.operators import evaluation as E
 from factloom.operators import graph as G
 from factloom.operators import health as H
 from factloom.operators.fusion import reciprocal_rank_fusion
-from factloom.operators.lexical import bm25, build_index, query_terms, top_k, vocabulary
+from factloom.operators.lexical import bm25, build_index, query_terms, shared_index, top_k, vocabulary
 from factloom.operators.semantic import build_semantic, with_similarity
 from factloom.operators.semantic import semantic_search as lsa_search
 from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _latent, _lexical
-from factloom.session import table
+from factloom.session import small, table
 from factloom.streaming.ingest import windowed_counts
 
 AS_OF = "2026-01-01"
@@ -58,7 +58,7 @@ def _answers(spark, d):
     graded = classified(sentences(found, "chunk_id"), vocabulary(chunks))
     fit = found.join(chunk_quality(graded, "chunk_id").select("chunk_id", F.col("quality").alias("chunk_quality")), "chunk_id", "left")
     total = fit.select(F.col("chunk_id").alias("doc"), F.length("text").alias("total"), "source_type", "chunk_quality")
-    cand = graded.where(F.length("sentence") >= 30).withColumnRenamed("chunk_id", "doc").join(hits, "doc").join(F.broadcast(asked), "query").join(total, "doc").withColumn("pos", F.col("pos").cast("int"))
+    cand = graded.where(F.length("sentence") >= 30).withColumnRenamed("chunk_id", "doc").join(hits, "doc").join(small(asked), "query").join(total, "doc").withColumn("pos", F.col("pos").cast("int"))
     cand = cand.withColumn("prior", A.evidence_prior(F.col("intent"), F.lit(None).cast("string"), F.col("source_type"), F.col("chunk_quality")))  # chunks have no record type
     cand = cand.where((F.col("prior") >= 0.12) & A.answerable("sentence", F.col("kind"), F.col("intent")))
     index = build_semantic(chunks, "chunk_id")
@@ -116,10 +116,10 @@ def _runs(spark, d, name="overlap"):
 
     docs = _docs(spark, d)
     asked = table(spark, d, "device_reference").select(F.col("ref_id").alias("query"), F.col("canonical_name").alias("text"), "family")
-    index, terms = build_index(docs, "doc_id"), query_terms(asked, "query", "text")
+    index, terms = shared_index(docs, "doc_id"), query_terms(asked, "query", "text")
     lexical = top_k(bm25(index, terms), 40)
     flat = terms.join(index.terms.select("term", "df"), "term").select("query", "term")
-    second = _latent(docs, asked, "query", "text", 40) if name == "semantic" else top_k(index.postings.join(F.broadcast(flat), "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score")), 40)
+    second = _latent(docs, asked, "query", "text", 40) if name == "semantic" else top_k(index.postings.join(small(flat), "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score")), 40)
     run = lambda df, name: df.select("query", F.lit(name).alias("retriever"), "doc", "score", "rank", F.lit(1.0).alias("weight"))
     hybrid = top_k(reciprocal_rank_fusion(run(lexical, "bm25").unionByName(run(second, name))), 20)
     ranked = lexical.select(F.lit("lexical").alias("mode"), "query", "doc", "rank").unionByName(second.select(F.lit(name).alias("mode"), "query", "doc", "rank")).unionByName(hybrid.select(F.lit("hybrid").alias("mode"), "query", "doc", "rank"))

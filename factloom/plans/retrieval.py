@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from factloom.functions import lexicons as L
 from factloom.functions.text import degenerate, tokens
 from factloom.operators.fusion import diagnostics, facet_counts, faceted, reciprocal_rank_fusion
-from factloom.operators.lexical import bm25, build_index, expanded_terms, query_terms, top_k, vocabulary
+from factloom.operators.lexical import LexicalIndex, bm25, expanded_terms, query_terms, shared_index, top_k, vocabulary
 from factloom.operators.semantic import build_semantic, semantic_search
 from factloom.operators.vectors import cosine_top_k
-from factloom.session import table
+from factloom.session import small, table
 
 DEPTH = 20
 
@@ -24,6 +24,10 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark_items")
 
 
+def _index(spark: SparkSession, d: str) -> LexicalIndex:
+    return shared_index(_docs(spark, d), "doc_id")
+
+
 def tokenize_documents(spark, d):
     t = tokens("text")
     return _docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
@@ -34,28 +38,28 @@ def corpus_vocabulary(spark, d):
 
 
 def bm25_terms(spark, d):
-    return build_index(_docs(spark, d), "doc_id").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_corpus_stats(spark, d):
-    return build_index(_docs(spark, d), "doc_id").stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return _index(spark, d).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_postings(spark, d):
-    return build_index(_docs(spark, d), "doc_id").postings.select(F.col("doc").alias("doc_id"), "term", "tf", "dl")
+    return _index(spark, d).postings.select(F.col("doc").alias("doc_id"), "term", "tf", "dl")
 
 
 def _lexical(spark, d, k):
-    return top_k(bm25(build_index(_docs(spark, d), "doc_id"), query_terms(_items(spark, d), "item_id", "text")), k)
+    return top_k(bm25(_index(spark, d), query_terms(_items(spark, d), "item_id", "text")), k)
 
 
 def _coverage(spark, d, k):
     """Second retriever: share of a query's distinct terms that a document holds."""
     q = query_terms(_items(spark, d), "item_id", "text").select("query", "term")
     size = q.groupBy("query").agg(F.count("*").alias("n"))
-    p = build_index(_docs(spark, d), "doc_id").postings
-    hits = p.join(F.broadcast(q), "term").groupBy("query", "doc").agg(F.count("*").alias("hit"))
-    return top_k(hits.join(F.broadcast(size), "query").select("query", "doc", F.round(F.col("hit") / F.col("n"), 6).alias("score")), k)
+    p = _index(spark, d).postings
+    hits = p.join(small(q), "term").groupBy("query", "doc").agg(F.count("*").alias("hit"))
+    return top_k(hits.join(small(size), "query").select("query", "doc", F.round(F.col("hit") / F.col("n"), 6).alias("score")), k)
 
 
 def _latent(docs, asked, query, text, k):
@@ -75,7 +79,7 @@ def bm25_search(spark, d):
 
 
 def bm25_search_expanded(spark, d):
-    index = build_index(_docs(spark, d), "doc_id")
+    index = _index(spark, d)
     synonyms = spark.createDataFrame([(a, b) for a, bs in L.SYNONYMS.items() for b in bs], "term string, variant string")
     weighted = expanded_terms(_items(spark, d), "item_id", "text", index.terms, synonyms)
     return top_k(bm25(index, weighted), DEPTH).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")

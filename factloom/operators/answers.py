@@ -73,6 +73,80 @@ def confidence(signals: dict[str, Column], empty: Column) -> tuple[Column, Colum
     return percent, F.when(percent >= 70, "high").when(percent >= 45, "moderate").when(percent >= 25, "low").otherwise("insufficient")
 
 
+def caveats(signals: dict[str, Column], empty: Column, intent: Column) -> Column:
+    """What to be told beside a confidence: an array in fixed order."""
+    rules = [
+        (empty, "No supporting passage passed the evidence filters."), (signals["coverage"] < 0.4, "The answer does not cover most of the terms in the question."),
+        (signals["consensus"] < 0.3, "Supported by a single document — no independent corroboration."), (signals["agreement"] < 0.2, "Lexical and semantic retrieval disagreed on the best evidence."),
+        (signals["quality"] < 0.45, "Supporting text is partly extraction debris (tables, headers)."), (intent == L.GENERAL[0], "Question intent was ambiguous, so evidence routing was not applied."),
+    ]
+    return F.array_compact(F.array(*[F.when(test, F.lit(said)) for test, said in rules]))
+
+
+def plain_verdict(percent: Column, signals: dict[str, Column]) -> Column:
+    """One plain sentence for a confidence; signals of 0.6 or more count as strong."""
+    strong = sum(((c >= 0.6).cast("int") for c in signals.values()), F.lit(0))
+    return (
+        F.when(percent >= 70, "Strong answer. The evidence was clear, consistent, and covered what you asked.")
+        .when(percent >= 45, F.concat(F.lit("Reasonable answer, with caveats. "), strong.cast("string"), F.lit(f" of {len(signals)} quality checks came back strong — the notes below say which ones did not.")))
+        .when(percent >= 25, "Weak answer. Read the supporting passages before relying on this.")
+        .otherwise("The documentation does not appear to answer this. Treat what is shown as related context only."))
+
+
+def rare_terms(queries: DataFrame, terms: DataFrame, documents: int, variants: DataFrame | None = None, fraction: float = 0.35, stop: list[str] = L.CONTENT_STOP) -> DataFrame:
+    """(query, rare): whether a query(query, term) has a term that fewer than ``fraction`` of the documents hold.
+
+    A term of the index is judged by its own count; one that is not, by the rarest of its variants(term, variant).
+    """
+    asked = queries.select("query", "term").distinct()
+    content = asked.where(~F.col("term").isin(*stop))
+    known = content.join(terms.select("term", "df"), "term", "left")
+    own = known.where("df IS NOT NULL").select("query", "df")
+    if variants is not None:
+        other = known.where("df IS NULL").select("query", "term").join(variants.select("term", "variant"), "term").join(terms.select(F.col("term").alias("variant"), "df"), "variant").select("query", "df")
+        own = own.unionByName(other)
+    rare = own.groupBy("query").agg(F.max((F.col("df") < fraction * documents).cast("int")).alias("rare"))
+    return asked.select("query").distinct().join(rare, "query", "left").select("query", (F.coalesce("rare", F.lit(0)) == 1).alias("rare"))
+
+
+def cohered(ranked: DataFrame, questions: DataFrame, rare: DataFrame, boost: float = 4.0, dominance: float = 1.5, confident: float = 1.3, most: int = 8) -> DataFrame:
+    """Hits of the documents an answer should rest on, with the figures of that choice.
+
+    ranked(query, doc, rank, score, document, name_tokens, furniture), questions(query, terms), rare(query, rare).  Furniture is left
+    out where two other hits remain.  Documents are ordered by query words in their name, then by summed score plus ``boost`` a
+    word.  The first stays alone if its name has more of the words than the second's, or without such words if it outweighs it by
+    ``dominance``; else both stay, with ``most`` hits.  Returns query, doc, place, document, dominant, distinctness, confident, confidence.
+    """
+    whole = W.partitionBy("query")
+    sound = ranked.withColumn("others", F.count_if(~F.col("furniture")).over(whole)).where((F.col("others") < 2) | ~F.col("furniture"))
+    ends = sound.withColumn("place", F.row_number().over(whole.orderBy(F.desc("score"), "doc")))
+    hits = F.size(F.array_intersect(F.first("name_tokens"), F.first("terms")))
+    per = ends.join(questions, "query").groupBy("query", "document").agg(F.sum("score").alias("sum"), hits.alias("named"))
+    order = whole.orderBy(F.desc("named"), F.desc("total"), "document")
+    scored = per.withColumn("total", F.round(F.col("sum") + boost * F.col("named"), 6)).withColumns({"r": F.row_number().over(order), "next_named": F.lead("named").over(order), "next": F.lead("total").over(order)})
+    lead = scored.where("r = 1").select("query", F.col("document").alias("dominant"), F.col("named").alias("top_named"), (
+        (F.col("named") > F.coalesce("next_named", F.lit(0))) | ((F.col("named") == 0) & (F.coalesce("next", F.lit(0.0)) * dominance <= F.col("total")))).alias("alone"))
+    kept = scored.where("r <= 2").join(lead, "query").where("r = 1 OR NOT alone").select("query", "document", "dominant", "top_named")
+    of = ends.where(F.col("place") <= 10).groupBy("query").agg(F.max_by("score", "place").alias("tail"))
+    out = ends.join(kept, ["query", "document"]).join(of, "query").withColumn("place", F.row_number().over(whole.orderBy(F.desc("score"), "doc"))).where(F.col("place") <= most)
+    distinct = F.round(F.first("score").over(whole.orderBy("place")) / F.greatest("tail", F.lit(1e-4)), 4)
+    return out.withColumn("distinctness", distinct).join(rare, "query").select(
+        "query", "doc", "place", "document", "dominant", "distinctness", ((F.col("top_named") > 0) | (F.col("rare") & (F.col("distinctness") >= confident))).alias("confident"),
+        F.round(F.least(F.lit(1.0), F.greatest(F.col("distinctness") / 4, F.when(F.col("top_named") > 0, 0.75).otherwise(0.0))), 4).alias("confidence"))
+
+
+def retried(first: DataFrame, bank: DataFrame, second: DataFrame, strong: float = 0.7, rescue: float = 0.45, low: float = 45.0) -> DataFrame:
+    """(query, asked, percent): which question is answered in the end.
+
+    first(query, percent) the question as asked, bank(query, entry, similarity) the most alike known question, second(entry,
+    percent) the known questions' confidences.  A similarity of ``strong`` replaces the question; one of ``rescue`` does if the
+    question itself stays below ``low`` percent and the known one does not.
+    """
+    met = first.join(bank, "query", "left").join(second.select("entry", F.col("percent").alias("known")), "entry", "left")
+    takes = F.coalesce((F.col("similarity") >= strong) | ((F.col("percent") < low) & (F.col("similarity") >= rescue) & (F.col("known") >= low)), F.lit(False)) & F.col("known").isNotNull()
+    return met.select("query", F.when(takes, F.col("entry")).alias("asked"), F.when(takes, F.col("known")).otherwise(F.col("percent")).alias("percent"))
+
+
 def match_bank(asked: DataFrame, bank: DataFrame) -> DataFrame:
     """asked(name) and bank(entry, text): for each name the entry of greatest cosine of token sets, first on ties.
 

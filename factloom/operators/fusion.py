@@ -47,3 +47,17 @@ def diagnostics(lexical: DataFrame, second: DataFrame, k: int = 10) -> DataFrame
     agree = each.groupBy("query").agg(F.round(F.sum(F.col("a") * F.col("b")) / F.count("*"), 2).alias("agreement"))
     top = lexical.where("rank <= 5").groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.avg(F.when(F.col("rank") > 1, F.col("score"))).alias("rest"))
     return agree.join(top, "query", "left").select("query", "agreement", F.round(F.coalesce(F.try_divide(F.col("top") - F.col("rest"), F.col("top")), F.lit(0.6)), 4).alias("margin"))
+
+
+def explained(runs: DataFrame, k: int = 60, depth: int = 40) -> DataFrame:
+    """(query, doc, score, ranks, contributions, explanation): what each retriever added to a fused score.
+
+    ranks and contributions are maps by retriever; the explanation lists the retrievers in name order.
+    """
+    used = runs.where(F.col("rank") <= depth).withColumn("part", F.round(F.col("weight") / (k + F.col("rank")), 6))
+    parts = F.array_sort(F.collect_list(F.struct("retriever", "rank", "part")))  # one entry per retriever
+    every = used.groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"), parts.alias("parts"))
+    said = F.transform("parts", lambda x: F.concat(x["retriever"], F.lit(" #"), x["rank"].cast("string"), F.lit(" (+"), F.format_number(x["part"], 6), F.lit(")")))
+    return every.select(
+        "query", "doc", "score", F.map_from_entries(F.transform("parts", lambda x: F.struct(x["retriever"], x["rank"]))).alias("ranks"),
+        F.map_from_entries(F.transform("parts", lambda x: F.struct(x["retriever"], x["part"]))).alias("contributions"), F.array_join(said, ", ").alias("explanation"))

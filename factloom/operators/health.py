@@ -51,6 +51,18 @@ def risks(chunks: DataFrame, mentions: DataFrame, documents: DataFrame, isolated
     )
 
 
+def extraction_quality(graded: DataFrame, per_chunk: DataFrame) -> DataFrame:
+    """(raw, score, prose_percent): mean chunk quality and the share of prose among graded(kind) sentences."""
+    mean = per_chunk.agg(F.avg("quality").alias("raw"))
+    prose = graded.agg(F.avg((F.col("kind") == "prose").cast("double")).alias("p"))
+    return mean.crossJoin(F.broadcast(prose)).select(F.round(F.coalesce("raw", F.lit(0.0)), 6).alias("raw"), F.round(100 * F.coalesce("raw", F.lit(0.0)), 2).alias("score"), F.round(100 * F.coalesce("p", F.lit(0.0)), 2).alias("prose_percent"))  # one row each
+
+
+def dating_methods(dated: DataFrame) -> DataFrame:
+    """(method, documents): how documents got their date."""
+    return dated.groupBy("method").agg(F.count("*").alias("documents"))
+
+
 def heatmap(chunks: DataFrame, mentions: DataFrame, least: float = 8.0) -> DataFrame:
     """(document_id, density, share): 0.6 per chunk and 0.8 per distinct entity, in percent of the densest, at least ``least``."""
     c = chunks.groupBy("document_id").agg(F.countDistinct("chunk_id").alias("chunks"))

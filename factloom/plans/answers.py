@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from factloom.functions import lexicons as L
 from factloom.functions.sentences import chunk_quality, classified, sentences
-from factloom.functions.text import content_tokens, name_tokens
+from factloom.functions.text import classify_sentence, content_tokens, name_tokens
 from factloom.operators import answers as A
 from factloom.operators import evaluation as E
 from factloom.operators import graph as G
 from factloom.operators import health as H
-from factloom.operators.fusion import reciprocal_rank_fusion
+from factloom.operators.fusion import diagnostics, reciprocal_rank_fusion
 from factloom.operators.lexical import bm25, build_index, query_terms, shared_index, top_k, vocabulary
 from factloom.operators.semantic import build_semantic, with_similarity
 from factloom.operators.semantic import semantic_search as lsa_search
+from factloom.operators.structure import document_lines
 from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _latent, _lexical
-from factloom.session import small, table
+from factloom.plans.structure import line_grades
+from factloom.session import small, stored, table
 from factloom.streaming.ingest import windowed_counts
 
 AS_OF = "2026-01-01"
@@ -31,6 +33,12 @@ def question_analysis(spark, d):
     return _items(spark, d).select("item_id", A.intent_of("text").alias("intent"), F.array_join(A.focus_of("text"), ",").alias("focus"), F.size(content_tokens("text")).alias("terms"))
 
 
+def _line_quality(df, key):
+    """(key, quality): the prose quality of a text's lines over all its lines."""
+    graded = document_lines(df, key).withColumn("g", classify_sentence("line", 3))
+    return graded.groupBy(F.col("doc").alias(key)).agg((F.sum(F.when(F.col("g.kind") == "prose", F.col("g.quality")).otherwise(0.0)) / F.count("*")).alias("quality"))
+
+
 def _routed(spark, d):
     items = _items(spark, d).select(F.col("item_id").alias("query"), A.intent_of("text").alias("intent"))
     know = table(spark, d, "knowledge_records").select("source_id", F.col("metadata")["record_type"].alias("record_type"), "source_type", "text", "loaded_at", "title")
@@ -38,8 +46,10 @@ def _routed(spark, d):
 
     records = keep_first(know, ["source_id"], ["loaded_at", "title", "text"])
     hits = top_k(bm25(build_index(records, "source_id"), query_terms(_items(spark, d), "item_id", "text")), 40)
-    joined = hits.join(records.select(F.col("source_id").alias("doc"), "record_type", "source_type"), "doc").join(items, "query")
-    return A.rerank(joined, A.evidence_prior(F.col("intent"), F.col("record_type"), F.col("source_type")))
+    hits = stored(hits, "routed-hits")
+    used = records.join(hits.select(F.col("doc").alias("source_id")).distinct(), "source_id", "left_semi")
+    joined = hits.join(used.select(F.col("source_id").alias("doc"), "record_type", "source_type"), "doc").join(_line_quality(used, "source_id").withColumnRenamed("source_id", "doc"), "doc", "left").join(items, "query")
+    return A.rerank(joined, A.evidence_prior(F.col("intent"), F.col("record_type"), F.col("source_type"), F.col("quality")))
 
 
 def evidence_rerank(spark, d):
@@ -83,17 +93,29 @@ def document_cohesion(spark, d):
     return A.cohesion(ranked, names, asked).withColumnRenamed("query", "item_id")
 
 
+def _signals(spark, d):
+    """Per question the five signals of its confidence: quality is that of the lines of its five best documents."""
+    lexical, second = stored(_lexical(spark, d, 20), "signal-hits"), _coverage(spark, d, 20)
+    docs = table(spark, d, "documents")
+    best = lexical.where("rank <= 5").select("query", F.col("doc").alias("doc_id"))
+    used = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    per = best.join(used.select("doc_id", "source"), "doc_id").join(_line_quality(used, "doc_id"), "doc_id", "left").groupBy("query").agg(F.countDistinct("source").alias("sources"), F.round(F.avg(F.coalesce("quality", F.lit(0.0))), 6).alias("quality"))
+    cover = second.where("rank = 1").select("query", F.col("score").alias("coverage"))
+    intents = _items(spark, d).select(F.col("item_id").alias("query"), A.intent_of("text").alias("intent"))
+    rows = diagnostics(lexical, second).join(per, "query").join(cover, "query").join(intents, "query")
+    return rows, {"margin": F.col("margin"), "agreement": F.col("agreement"), "coverage": F.col("coverage"), "consensus": 1 - 1.3 * F.pow(F.lit(0.5), F.col("sources")), "quality": F.col("quality")}
+
+
 def confidence_scores(spark, d):
-    lexical, second = _lexical(spark, d, 20), _coverage(spark, d, 20)
-    from factloom.operators.fusion import diagnostics
+    rows, signals = _signals(spark, d)
+    percent, band = A.confidence(signals, F.col("sources") == 0)
+    return rows.select(F.col("query").alias("item_id"), percent.alias("percent"), band.alias("band"))
 
-    diag = diagnostics(lexical, second)
-    docs = lexical.where("rank <= 5").join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc").groupBy("query").agg(F.countDistinct("source").alias("sources"))
-    cover = second.where("rank = 1").select("query", F.col("score").alias("coverage"))
-    all_ = diag.join(docs, "query").join(cover, "query")
-    percent, band = A.confidence({
-        "margin": F.col("margin"), "agreement": F.col("agreement"), "coverage": F.col("coverage"), "consensus": 1 - 1.3 * F.pow(F.lit(0.5), F.col("sources")), "quality": F.lit(0.8)}, F.col("sources") == 0)
-    return all_.select(F.col("query").alias("item_id"), percent.alias("percent"), band.alias("band"))
+
+def confidence_caveats(spark, d):
+    rows, signals = _signals(spark, d)
+    percent, _ = A.confidence(signals, F.col("sources") == 0)
+    return rows.select(F.col("query").alias("item_id"), F.array_join(A.caveats(signals, F.col("sources") == 0, F.col("intent")), " ").alias("caveats"), A.plain_verdict(percent, signals).alias("verdict"))
 
 
 def question_bank_match(spark, d):
@@ -204,6 +226,13 @@ gold AS (SELECT ref_id AS item_id, doc_id, family FROM documents JOIN device_ref
 hit AS (SELECT mode, r.item_id, min(rank) AS first, count(*) AS k, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN gold USING (item_id, doc_id) WHERE rank <= 10 GROUP BY ALL),
 cm AS (SELECT c.mode, c.item_id, family, (coalesce(first, 99) <= 5)::INT::DOUBLE AS recall_5, (coalesce(first, 99) <= 10)::INT::DOUBLE AS recall_10, coalesce(round(1 / first, 6), 0) AS mrr,
   coalesce(round(dcg / list_sum(list_transform(generate_series(1, k), lambda i: 1 / log2(i + 1))), 6), 0) AS ndcg_10 FROM cases c LEFT JOIN hit h ON h.mode = c.mode AND h.item_id = c.item_id)"""
+_CONF = f"""WITH {_IDX} {_FUSE}, j AS (SELECT item_id, doc_id, max(x) AS x, max(y) AS y FROM (SELECT item_id, doc_id, 1 AS x, 0 AS y FROM a WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 0, 1 FROM c WHERE rank <= 10) GROUP BY ALL),
+m AS (SELECT item_id, max(score) FILTER (rank = 1) AS top, avg(score) FILTER (rank BETWEEN 2 AND 5) AS rest FROM a GROUP BY 1), dg AS (SELECT item_id, round(sum(x * y) / count(*), 2) AS agreement, round(coalesce((any_value(top) - any_value(rest)) / any_value(top), 0.6), 4) AS margin FROM j LEFT JOIN m USING (item_id) GROUP BY 1),
+lg AS ({line_grades('doc_id', 'documents')}), ql AS (SELECT k AS doc_id, sum(CASE WHEN kind = 'prose' THEN quality ELSE 0 END) / count(*) AS quality FROM lg GROUP BY 1),
+so AS (SELECT item_id, count(DISTINCT source) AS sources, round(avg(coalesce(quality, 0)), 6) AS quality FROM a JOIN documents USING (doc_id) LEFT JOIN ql USING (doc_id) WHERE rank <= 5 GROUP BY 1), k AS (SELECT item_id, score AS coverage FROM c WHERE rank = 1),
+i AS (SELECT item_id, {_INTENT} AS intent FROM benchmark_items), g AS (SELECT *, 1 - 1.3::DOUBLE * pow(0.5, sources) AS consensus FROM dg JOIN so USING (item_id) JOIN k USING (item_id) JOIN i USING (item_id)),
+v AS (SELECT *, CASE WHEN sources = 0 THEN 0 ELSE round(100 * exp(0.22::DOUBLE * ln(greatest(0.02, least(1, margin))) + 0.18::DOUBLE * ln(greatest(0.02, least(1, agreement))) + 0.24::DOUBLE * ln(greatest(0.02, least(1, coverage)))
+  + 0.18::DOUBLE * ln(greatest(0.02, least(1, consensus))) + 0.18::DOUBLE * ln(greatest(0.02, least(1, quality)))), 2) END AS percent FROM g)"""
 _MEAN = "round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(mrr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10"
 _HM = f"""hm AS (SELECT 'coverage' AS metric, x AS raw, x / 8 AS s FROM (SELECT count(DISTINCT chunk_id) / count(DISTINCT document_id) AS x FROM chunks)
 UNION ALL SELECT 'connectivity', x, x / 0.35::DOUBLE FROM (SELECT avg((n >= 2)::INT) AS x FROM (SELECT count(DISTINCT document_id) AS n FROM entity_mentions WHERE trim(canonical) <> '' AND document_id IS NOT NULL GROUP BY lower(trim(canonical))))
@@ -224,7 +253,7 @@ def event_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    question_analysis, evidence_rerank, mmr_answers, composed_answers, document_cohesion, confidence_scores, question_bank_match, typeahead_suggest, typeahead_fuzzy, evaluation_by_mode,
+    question_analysis, evidence_rerank, mmr_answers, composed_answers, document_cohesion, confidence_scores, confidence_caveats, question_bank_match, typeahead_suggest, typeahead_fuzzy, evaluation_by_mode,
     evaluation_by_category, evaluation_gate, evaluation_by_mode_semantic, evaluation_by_category_semantic, evaluation_gate_semantic, health_metrics, health_overall, health_risks, insight_heatmap, insight_wordcloud, insight_timeline, semantic_search, event_windows)}
 SQL = {
     "question_analysis": f"SELECT item_id, {_INTENT} AS intent, {_FOC} AS focus, len({_CT}) AS terms FROM benchmark_items",
@@ -232,17 +261,19 @@ SQL = {
 t AS (SELECT source_id AS doc_id, {_TOK.format('text')} AS ts FROM kr), s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t), p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t), po AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 te AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM po, s GROUP BY term), qt AS (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark_items), q AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM qt GROUP BY ALL),
 a AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {_BM('q')}), i AS (SELECT item_id, {_INTENT} AS intent FROM benchmark_items),
-x AS (SELECT a.item_id, source_id, score, round({_PRIOR}, 6) AS prior FROM a JOIN kr ON kr.source_id = a.doc_id JOIN i ON i.item_id = a.item_id WHERE rank <= 40), y AS (SELECT item_id, source_id, prior, round(score * prior, 4) AS routed FROM x WHERE prior > 0.12::DOUBLE)
+lg AS ({line_grades('source_id', 'kr')}), ql AS (SELECT k AS source_id, sum(CASE WHEN kind = 'prose' THEN quality ELSE 0 END) / count(*) AS quality FROM lg GROUP BY 1),
+x AS (SELECT a.item_id, kr.source_id, score, round({_PRIOR} * coalesce(0.55::DOUBLE + 0.45::DOUBLE * quality, 1), 6) AS prior FROM a JOIN kr ON kr.source_id = a.doc_id JOIN i ON i.item_id = a.item_id LEFT JOIN ql ON ql.source_id = kr.source_id WHERE rank <= 40), y AS (SELECT item_id, source_id, prior, round(score * prior, 4) AS routed FROM x WHERE prior > 0.12::DOUBLE)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY routed DESC, source_id) AS routed_rank FROM y) WHERE routed_rank <= 24""",
     "document_cohesion": f"""WITH {_IDX} {_FUSE}, x AS (SELECT item_id, coalesce(product, 'unnamed') AS document, sum(score) AS s FROM a JOIN documents USING (doc_id) WHERE rank <= 20 GROUP BY ALL),
 b AS (SELECT item_id, list_distinct({_CT}) AS terms FROM benchmark_items), y AS (SELECT item_id, document, s, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(document), '\\.[a-z]+$', ''), '[^a-z0-9]+'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '^[0-9]+$'))), terms)) AS name_hits FROM x JOIN b USING (item_id)),
 z AS (SELECT item_id, document, name_hits, round(s + 4.0 * name_hits, 6) AS total FROM y), w AS (SELECT *, row_number() OVER o AS r, lead(total) OVER o AS nx FROM z WINDOW o AS (PARTITION BY item_id ORDER BY total DESC, document))
 SELECT item_id, document, total, name_hits, round(total / nx, 4) AS ratio, coalesce(total >= 1.5::DOUBLE * nx, true) AS dominant FROM w WHERE r = 1""",
-    "confidence_scores": f"""WITH {_IDX} {_FUSE}, j AS (SELECT item_id, doc_id, max(x) AS x, max(y) AS y FROM (SELECT item_id, doc_id, 1 AS x, 0 AS y FROM a WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 0, 1 FROM c WHERE rank <= 10) GROUP BY ALL),
-m AS (SELECT item_id, max(score) FILTER (rank = 1) AS top, avg(score) FILTER (rank BETWEEN 2 AND 5) AS rest FROM a GROUP BY 1), dg AS (SELECT item_id, round(sum(x * y) / count(*), 2) AS agreement, round(coalesce((any_value(top) - any_value(rest)) / any_value(top), 0.6), 4) AS margin FROM j LEFT JOIN m USING (item_id) GROUP BY 1),
-so AS (SELECT item_id, count(DISTINCT source) AS sources FROM a JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1), k AS (SELECT item_id, score AS coverage FROM c WHERE rank = 1),
-v AS (SELECT item_id, CASE WHEN sources = 0 THEN 0 ELSE round(100 * exp(0.22::DOUBLE * ln(greatest(0.02, least(1, margin))) + 0.18::DOUBLE * ln(greatest(0.02, least(1, agreement))) + 0.24::DOUBLE * ln(greatest(0.02, least(1, coverage))) + 0.18::DOUBLE * ln(greatest(0.02, least(1, 1 - 1.3::DOUBLE * pow(0.5, sources)))) + 0.18::DOUBLE * ln(0.8)), 2) END AS percent FROM dg JOIN so USING (item_id) JOIN k USING (item_id))
-SELECT item_id, percent, CASE WHEN percent >= 70 THEN 'high' WHEN percent >= 45 THEN 'moderate' WHEN percent >= 25 THEN 'low' ELSE 'insufficient' END AS band FROM v""",
+    "confidence_scores": _CONF + " SELECT item_id, percent, CASE WHEN percent >= 70 THEN 'high' WHEN percent >= 45 THEN 'moderate' WHEN percent >= 25 THEN 'low' ELSE 'insufficient' END AS band FROM v",
+    "confidence_caveats": _CONF + """ SELECT item_id, concat_ws(' ', CASE WHEN sources = 0 THEN 'No supporting passage passed the evidence filters.' END, CASE WHEN coverage < 0.4::DOUBLE THEN 'The answer does not cover most of the terms in the question.' END,
+CASE WHEN consensus < 0.3::DOUBLE THEN 'Supported by a single document — no independent corroboration.' END, CASE WHEN agreement < 0.2::DOUBLE THEN 'Lexical and semantic retrieval disagreed on the best evidence.' END,
+CASE WHEN quality < 0.45::DOUBLE THEN 'Supporting text is partly extraction debris (tables, headers).' END, CASE WHEN intent = 'GENERAL' THEN 'Question intent was ambiguous, so evidence routing was not applied.' END) AS caveats,
+CASE WHEN percent >= 70 THEN 'Strong answer. The evidence was clear, consistent, and covered what you asked.' WHEN percent >= 45 THEN 'Reasonable answer, with caveats. ' || ((margin >= 0.6::DOUBLE)::INT + (agreement >= 0.6::DOUBLE)::INT + (coverage >= 0.6::DOUBLE)::INT + (consensus >= 0.6::DOUBLE)::INT + (quality >= 0.6::DOUBLE)::INT)
+ || ' of 5 quality checks came back strong — the notes below say which ones did not.' WHEN percent >= 25 THEN 'Weak answer. Read the supporting passages before relying on this.' ELSE 'The documentation does not appear to answer this. Treat what is shown as related context only.' END AS verdict FROM v""",
     "question_bank_match": f"""WITH a AS (SELECT DISTINCT name, list_distinct({_CT.replace('(text,', '(name,')}) AS ta FROM entity_mentions WHERE name IS NOT NULL), b AS (SELECT item_id AS entry, list_distinct({_CT}) AS tb FROM benchmark_items),
 x AS (SELECT name, len(ta) AS na, unnest(ta) AS t FROM a), y AS (SELECT entry, len(tb) AS nb, unnest(tb) AS t FROM b), z AS (SELECT name, entry, round(count(*) / sqrt(any_value(na) * any_value(nb)), 6) AS similarity FROM x JOIN y USING (t) GROUP BY ALL)
 SELECT name, entry, similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, entry) AS r FROM z) WHERE r = 1""",

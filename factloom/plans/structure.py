@@ -122,7 +122,7 @@ UNION ALL SELECT 1, CASE WHEN {_SAN('product_code')} <> '' THEN 'CODE-' || {_SAN
   'Code ' || {_SAN('product_code')} || ' covers ' || {_DEF('device_name', 'an unnamed device type')} || ', class ' || {_DEF('device_class', 'not stated')} || ', regulation ' || {_DEF('regulation_number', 'not stated')} || '.', '' FROM product_code_classifications
 UNION ALL SELECT 2, CASE WHEN {_SAN('recall_number')} <> '' THEN {_SAN('recall_number')} ELSE 'RECALL-' || {_SAN('recall_initiation_date')} END, 'recall', 'Recall ' || CASE WHEN {_SAN('recall_number')} <> '' THEN {_SAN('recall_number')} ELSE 'RECALL-' || {_SAN('recall_initiation_date')} END || ' - ' || left({_SAN('product_description')}, 60),
   'Recall of ' || {_DEF('product_description', 'an unnamed product')} || ' because: ' || {_DEF('reason_for_recall', 'not stated')} || ' Status: ' || {_DEF('status', 'not stated')} || '.', left({_SAN('recall_initiation_date')}, 4) FROM enforcement_reports
-UNION ALL SELECT 3, {_SAN('ifu_id')}, 'ifu_catalogue', {_SAN('title')}, 'The catalogue lists ' || {_SAN('title')} || ' for ' || {_DEF('product', 'an unnamed product')} || ' as ' || {_DEF('doc_type', 'a document')} || '.' || CASE WHEN {_SAN('url')} <> '' THEN ' It is published at ' || {_SAN('url')} || '.' ELSE '' END, '' FROM nova_ifu_document_index WHERE {_SAN('title')} <> '')"""
+UNION ALL SELECT 3, CASE WHEN {_SAN('ifu_id')} <> '' THEN {_SAN('ifu_id')} WHEN {_SAN('literature_part_number')} <> '' THEN 'IFU-' || {_SAN('literature_part_number')} ELSE 'IFU-' || left({_SAN('title')}, 30) END, 'ifu_catalogue', {_SAN('title')}, 'The catalogue lists ' || {_SAN('title')} || ' for ' || {_DEF('product', 'an unnamed product')} || ' as ' || {_DEF('doc_type', 'a document')} || '.' || CASE WHEN {_SAN('url')} <> '' THEN ' It is published at ' || {_SAN('url')} || '.' ELSE '' END, '' FROM nova_ifu_document_index WHERE {_SAN('title')} <> '')"""
 _ISO = lambda y, m, dd: f"CASE WHEN try_cast({y} AS INT) BETWEEN 2000 AND 2027 THEN strftime(make_date(try_cast({y} AS INT), greatest(1, least(12, coalesce(try_cast({m} AS INT), 1))), greatest(1, least(28, coalesce(try_cast({dd} AS INT), 1)))), '%Y-%m-%d') END"
 _X = lambda p, i: f"nullif(regexp_extract(left(text, 4000), '{p}', {i}), '')"
 _R, _I, _M = (p.replace("(?i)", "(?i)") for p in (
@@ -130,6 +130,20 @@ _R, _I, _M = (p.replace("(?i)", "(?i)") for p in (
     r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(20[0-2][0-9])\b"))
 _MONTHNO = f"CAST(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower({_X(_M, 1)})) AS VARCHAR)"
 
+
+
+def line_grades(k: str, t: str) -> str:
+    """SQL of (k, line_no, kind, quality) of the lines of a table's text."""
+    return f"""WITH {_LINES.format(k=k, t=t)}, c AS (SELECT k, line_no, line, length(line) AS n, len(w) AS c, len(regexp_extract_all(line, '\\p{{L}}')) / length(line) AS al, len(regexp_extract_all(line, '\\p{{Nd}}')) / length(line) AS di,
+  len(list_filter(w, lambda x: regexp_matches(x, '^[0-9.,%()+\\-]+$'))) AS nu, len(list_filter(w, lambda x: length(x) <= 3)) AS sh, len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) AS ca, regexp_matches(line, '[.!?]$') AS e FROM h)
+SELECT k, line_no, CASE WHEN n < 25 THEN 'fragment' WHEN regexp_matches(line, '{L.CONTENTS}') THEN 'header' WHEN regexp_matches(line, '{L.LEGAL}') THEN 'legal' WHEN regexp_matches(line, '{L.EQUATION}') OR al < 0.45::DOUBLE THEN 'equation'
+  WHEN di > 0.18::DOUBLE OR (c > 8 AND nu > 0.30::DOUBLE * c) OR (c > 10 AND sh > 0.72::DOUBLE * c AND nu > 0) THEN 'table' WHEN NOT e AND c <= 9 AND ca > 0.6::DOUBLE * c THEN 'header' ELSE 'prose' END AS kind,
+ round(CASE WHEN n < 25 THEN 0.0::DOUBLE WHEN regexp_matches(line, '{L.CONTENTS}') THEN 0.0 WHEN regexp_matches(line, '{L.LEGAL}') THEN 0.05 WHEN regexp_matches(line, '{L.EQUATION}') OR al < 0.45::DOUBLE THEN 0.05
+  WHEN di > 0.18::DOUBLE OR (c > 8 AND nu > 0.30::DOUBLE * c) OR (c > 10 AND sh > 0.72::DOUBLE * c AND nu > 0) THEN 0.1 WHEN NOT e AND c <= 9 AND ca > 0.6::DOUBLE * c THEN 0.15
+  ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.55::DOUBLE + CASE WHEN e THEN 0.15 ELSE 0 END + CASE WHEN c BETWEEN 12 AND 45 THEN 0.15 WHEN c > 70 THEN -0.15 ELSE 0 END + CASE WHEN regexp_matches(line, '{L.STATEMENT}') THEN 0.15 ELSE 0 END
+   + CASE WHEN regexp_matches(line, '^\\p{{Lu}}') THEN 0.05 ELSE 0 END - CASE WHEN di > 0.10::DOUBLE THEN 0.10 ELSE 0 END)) END, 3) AS quality FROM c"""
+
+
 QUERIES = {f.__name__: f for f in (
     heading_detection, line_sections, chunk_packing, chunk_packing_overlap, first_seen_sources, line_kinds, sentence_kinds, chunk_quality_scores, text_repair, sanitize_fields,
     verbalised_records, record_facets, keep_first_device, document_metadata, document_heads, document_dates, clearance_dates)}
@@ -146,14 +160,7 @@ f AS (SELECT document_id, island, r, i, n, 1 AS g, n AS acc FROM o WHERE r = 1 U
   FROM f JOIN o ON o.document_id = f.document_id AND o.island = f.island AND o.r = f.r + 1)
 SELECT document_id, min(i) AS first_index, count(*) AS n, sum(n)::BIGINT AS chars FROM f GROUP BY document_id, island, g""",
     "first_seen_sources": "SELECT source, row_number() OVER (ORDER BY f, source) - 1 AS id FROM (SELECT source, min(doc_id) AS f FROM documents WHERE source IS NOT NULL GROUP BY 1)",
-    "line_kinds": f"""WITH {_LINES.format(k='chunk_id', t='(SELECT DISTINCT chunk_id, text FROM chunks)')}, c AS (SELECT k, line_no, line, length(line) AS n, len(w) AS c, len(regexp_extract_all(line, '\\p{{L}}')) / length(line) AS al, len(regexp_extract_all(line, '\\p{{Nd}}')) / length(line) AS di,
-  len(list_filter(w, lambda x: regexp_matches(x, '^[0-9.,%()+\\-]+$'))) AS nu, len(list_filter(w, lambda x: length(x) <= 3)) AS sh, len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) AS ca, regexp_matches(line, '[.!?]$') AS e FROM h)
-SELECT k AS chunk_id, line_no, CASE WHEN n < 25 THEN 'fragment' WHEN regexp_matches(line, '{L.CONTENTS}') THEN 'header' WHEN regexp_matches(line, '{L.LEGAL}') THEN 'legal' WHEN regexp_matches(line, '{L.EQUATION}') OR al < 0.45::DOUBLE THEN 'equation'
-  WHEN di > 0.18::DOUBLE OR (c > 8 AND nu > 0.30::DOUBLE * c) OR (c > 10 AND sh > 0.72::DOUBLE * c AND nu > 0) THEN 'table' WHEN NOT e AND c <= 9 AND ca > 0.6::DOUBLE * c THEN 'header' ELSE 'prose' END AS kind,
- round(CASE WHEN n < 25 THEN 0.0::DOUBLE WHEN regexp_matches(line, '{L.CONTENTS}') THEN 0.0 WHEN regexp_matches(line, '{L.LEGAL}') THEN 0.05 WHEN regexp_matches(line, '{L.EQUATION}') OR al < 0.45::DOUBLE THEN 0.05
-  WHEN di > 0.18::DOUBLE OR (c > 8 AND nu > 0.30::DOUBLE * c) OR (c > 10 AND sh > 0.72::DOUBLE * c AND nu > 0) THEN 0.1 WHEN NOT e AND c <= 9 AND ca > 0.6::DOUBLE * c THEN 0.15
-  ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.55::DOUBLE + CASE WHEN e THEN 0.15 ELSE 0 END + CASE WHEN c BETWEEN 12 AND 45 THEN 0.15 WHEN c > 70 THEN -0.15 ELSE 0 END + CASE WHEN regexp_matches(line, '{L.STATEMENT}') THEN 0.15 ELSE 0 END
-   + CASE WHEN regexp_matches(line, '^\\p{{Lu}}') THEN 0.05 ELSE 0 END - CASE WHEN di > 0.10::DOUBLE THEN 0.10 ELSE 0 END)) END, 3) AS quality FROM c""",
+    "line_kinds": f"SELECT k AS chunk_id, line_no, kind, quality FROM ({line_grades('chunk_id', '(SELECT DISTINCT chunk_id, text FROM chunks)')})",
     "sanitize_fields": "SELECT k_number, " + ", ".join(f"{_SAN(c)} AS {c}" for c in ("device_name", "applicant", "city", "state", "product_code")) + " FROM clearances_510k",
     "verbalised_records": f"WITH {_REC} SELECT source_ord, source_id, record_type, title, text, year FROM r WHERE source_id <> ''",
     "record_facets": f"WITH {_REC}, f AS (SELECT 'record_type' AS dimension, record_type AS value FROM r WHERE source_id <> '' UNION ALL SELECT 'year', year FROM r WHERE source_id <> '' UNION ALL SELECT 'source_type', 'registry' FROM r WHERE source_id <> '') SELECT dimension, value, n FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS k FROM (SELECT dimension, value, count(*) AS n FROM f WHERE value <> '' GROUP BY ALL)) WHERE k <= 60",

@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,28 @@ from factloom.sources.parse import read_paragraphs
 LEAST_CHARS = 40
 
 
+def file_product(name: Column | str, rules: tuple[tuple[str, str], ...] = (), default: str = "Unclassified") -> Column:
+    """The product a file name stands for: the label of the first rule (part of the name, label) that fits."""
+    out = F.lit(default)
+    for part, label in reversed(rules):
+        out = F.when(F.lower(name).contains(part), label).otherwise(out)
+    return out
+
+
+def file_doc_type(name: Column | str) -> Column:
+    """The kind of document a file name stands for; the first rule that fits decides."""
+    n = F.lower(name)
+    return (
+        F.when(n.contains("_review_"), "Review Memorandum").when(n.rlike(r"^k\d{2}"), "510(k) Summary").when(n.contains("quick_reference") | n.contains("reference_manual"), "Quick Reference Guide")
+        .when(n.contains("ifu") | n.contains("instruction"), "Instructions For Use").otherwise("Document"))
+
+
+def file_k_number(name: Column | str) -> Column:
+    """The part before the first underscore if the name begins with K, else the empty string."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.when(c.startswith("K"), F.regexp_replace(F.substring_index(c, "_", 1), r"\.[A-Za-z0-9]+$", "")).otherwise("")
+
+
 class Connector(Protocol):
     """One source of records in the common schema."""
 
@@ -32,6 +54,7 @@ class DocumentConnector:
     folder: str
     system: str = "Documents"
     domains: dict[str, str] | None = None
+    products: tuple[tuple[str, str], ...] = ()
 
     def present(self) -> bool:
         return os.path.isdir(self.folder)
@@ -43,7 +66,8 @@ class DocumentConnector:
         return rows.select(
             F.lit("document").alias("source_type"), F.lit(self.system).alias("source_system"), F.concat("document_name", F.lit("#p"), F.col("paragraph_index").cast("string")).alias("source_id"),
             F.col("document_name").alias("title"), "text", F.lit("document_paragraph").alias("record_type"), F.lit("").alias("year"), "section_path", "page",
-            F.coalesce(F.try_element_at(mapped, top), F.lit("General")).alias("domain"))
+            F.coalesce(F.try_element_at(mapped, top), F.lit("General")).alias("domain"), file_product("document_name", self.products).alias("product"), file_doc_type("document_name").alias("doc_type"),
+            file_k_number("document_name").alias("k_number"))
 
 
 @dataclass
@@ -56,7 +80,9 @@ class CsvConnector:
         "510k_clearances.csv": ("k_number device_name applicant decision_date product_code decision_description", V.clearances),
         "product_code_classifications.csv": ("product_code device_name device_class regulation_number", V.classifications),
         "enforcement_reports.csv": ("recall_number product_description reason_for_recall status recall_initiation_date", V.recalls),
-        "ifu_document_index.csv": ("ifu_id title product doc_type url", V.documents_index),
+        "device_recalls.csv": ("product_res_number event_date_initiated product_description reason_for_recall root_cause_description recall_status product_code", V.device_recalls),
+        "nova_ifu_document_index.csv": ("ifu_id title product family doc_type literature_part_number url", V.documents_index),
+        "udi_device_identifiers.csv": ("brand_name version_or_model_number device_description product_codes commercial_distribution_status publish_date", V.device_identifiers),
     }
 
     def present(self) -> bool:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from factloom.functions import lexicons as L
 
 # A run of up to five capitalised words, and an acronym.
-PROPER = r"\b([A-Z][a-zA-Z0-9]+(?:[\s-][A-Z][a-zA-Z0-9]+){0,4})\b"
-ACRONYM = r"\b([A-Z]{2,6})\b"
+CAPITALISED = r"[A-Z][a-zA-Z0-9]+(?:[\s-][A-Z][a-zA-Z0-9]+){0,4}"
+CAPITALS = r"[A-Z]{2,6}"
+# word ends are spelled out, as what \b takes for a letter differs between engines
+PROPER, ACRONYM = (rf"(?<![\p{{L}}\p{{N}}_])({p})(?![\p{{L}}\p{{N}}_])" for p in (CAPITALISED, CAPITALS))
 # Words that open a name without belonging to it.
 LEADING = "the a an for every each some most any all this that these those when if since while although however therefore thus".split()
 

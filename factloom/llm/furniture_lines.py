@@ -47,22 +47,25 @@ def repeated_lines(df: DataFrame, item: str, document: str, source: str, text: s
     needed = F.greatest(F.lit(float(min_documents)), F.lit(min_share) * F.count_distinct(document))
     sizes = stored(df.select(document, F.col(source).alias("source")).groupBy(own.alias("s")).agg(needed.alias("needed")), "line-sources")
     cover = stored(lines.select("s", "line", "doc").distinct(), "line-cover")  # hot sources spread over their lines
+    kinds = stored(cover.groupBy("s", "line").agg(F.count("*").alias("k")), "line-kinds")
     # --- trees: branch counts are combined in each task before they are merged, sparse branches become slots
     tokens = F.split("line", " ")
-    branches = cover.select("s", F.size(tokens).alias("n"), F.posexplode(F.slice(tokens, 1, depth)).alias("level", "token")).groupBy("s", "n", "level", "token").agg(F.count("*").alias("k"))
+    branches = kinds.select("s", "k", F.size(tokens).alias("n"), F.posexplode(F.slice(tokens, 1, depth)).alias("level", "token")).groupBy("s", "n", "level", "token").agg(F.sum("k").alias("k"))
     dense = branches.join(small(sizes), "s").where(F.col("k") >= F.col("needed"))
-    trees = stored(dense.groupBy("s", "n").agg(F.collect_set(F.concat_ws(" ", "level", "token")).alias("kept")), "line-trees")  # at most 1 / min_share branches per level and line of a document
-
-    def templated(of: DataFrame, *more: str) -> DataFrame:
-        with_tree = of.select("*", F.size(tokens).alias("n")).join(small(trees), ["s", "n"])
-        slotted = F.transform(tokens, lambda t, i: F.when((i >= depth) | F.array_contains(F.col("kept"), F.concat_ws(" ", i.cast("string"), t)), t).otherwise(F.lit(SLOT)))
-        parsed = with_tree.select("s", *more, slotted.alias("t"))
-        literal = F.size(F.filter("t", lambda x: x != SLOT))
-        return parsed.where(literal >= F.ceil(literal_share * F.size("t"))).select("s", *more, F.array_join("t", " ").alias("template"), (literal == F.size("t")).alias("literal"))
-
-    counts = templated(cover, "doc").groupBy("s", "template", "literal", "doc").agg(F.lit(1).alias("one")).groupBy("s", "template", "literal").agg(F.count("doc").alias("documents"))
+    levels = dense.groupBy("s", "n", "level").agg(F.collect_list("token").alias("kept"))  # at most 1 / min_share tokens for each line of a document
+    by_level = levels.groupBy("s", "n").agg(F.map_from_entries(F.collect_list(F.struct("level", "kept"))).alias("m"))  # at most ``depth`` levels
+    none = F.array().cast("array<string>")
+    trees = stored(by_level.select("s", "n", F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.coalesce(F.col("m")[i], none)).alias("tree")), "line-trees")
+    slotted = F.transform(tokens, lambda t, i: F.when((i >= depth) | F.array_contains(F.get("tree", i), t), t).otherwise(F.lit(SLOT)))
+    parsed = kinds.withColumn("n", F.size(tokens)).join(small(trees), ["s", "n"]).select("s", "line", "k", slotted.alias("t")).withColumn("held", F.size(F.filter("t", lambda x: x != SLOT)))
+    parsed = parsed.where(F.col("held") >= F.ceil(literal_share * F.size("t"))).select("s", "line", "k", F.array_join("t", " ").alias("template"), (F.col("held") == F.size("t")).alias("literal"))
+    parsed = stored(parsed, "line-parsed")
+    # a template without slots is one line, whose documents are counted already; the others gather those of their lines
+    gathered = cover.join(small(parsed.where("NOT literal").select("s", "line", "template")), ["s", "line"]).select("s", "template", "doc").distinct().groupBy("s", "template").agg(F.count("*").alias("documents"))
+    counts = parsed.where("literal").select("s", "template", "literal", F.col("k").alias("documents")).unionByName(gathered.withColumn("literal", F.lit(False)))
     found = stored(counts.join(small(sizes), "s").where(F.col("documents") >= F.col("needed")).drop("needed"), "line-templates")
-    hits = templated(lines, "item", "line_no").join(small(found), ["s", "template", "literal"]).distinct()
+    of_lines = stored(parsed.drop("k").join(small(found), ["s", "template", "literal"]), "line-found")
+    hits = lines.join(small(of_lines), ["s", "line"]).select("s", "item", "line_no", "template", "documents", "literal").distinct()
     named = F.when(F.col("s") != "null", F.substring("s", 2, 1 << 30)).cast(df.schema[source].dataType).alias("source")
     return hits.select("item", "line_no", named, "template", "documents", "literal"), found.select(named, "template", "documents", "literal")
 

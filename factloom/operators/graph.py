@@ -100,6 +100,30 @@ def graph_nodes(events: Events, edges: DataFrame, least: int = 3) -> DataFrame:
     return kept.select("key", "kind", "mentions", "chunks", "sources", F.coalesce("degree", F.lit(0)).alias("degree"), ((F.col("kind") == "Product") & (F.col("sources") >= 2)).alias("cross_source"))
 
 
+def node_lists(events: Events, most: int = CHUNKS) -> DataFrame:
+    """(key, name, chunks, sources): a node's name as first written, its first ``most`` records and its sources, in order.
+
+    Records are deduplicated and ranked before they are gathered, so a hot node's list never exceeds ``most``.
+    """
+    each = events.nodes.groupBy("key", "chunk").agg(F.min(F.struct("pos", "name")).alias("said"))
+    ranked = each.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("chunk"))).where(F.col("r") <= most)
+    lists = ranked.groupBy("key").agg(F.min_by("said.name", "r").alias("name"), F.array_sort(F.collect_list("chunk")).alias("chunks"))
+    seen = events.nodes.groupBy("key", "source").agg(F.lit(1).alias("one")).groupBy("key").agg(F.array_sort(F.collect_list("source")).alias("sources"))  # source systems are few
+    return lists.join(seen, "key")
+
+
+def edge_evidence(events: Events, most: int = EVIDENCE) -> DataFrame:
+    """(a, b, type, chunks): the first ``most`` records in order that state an edge."""
+    each = events.edges.select("a", "b", "type", "chunk").distinct()
+    ranked = each.withColumn("r", F.row_number().over(W.partitionBy("a", "b", "type").orderBy("chunk"))).where(F.col("r") <= most)
+    return ranked.groupBy("a", "b", "type").agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
+
+
+def node_documents(events: Events, documents: DataFrame) -> DataFrame:
+    """(key, document): the documents of a node's records; records without a known document(chunk, document) are left out."""
+    return events.nodes.select("key", "chunk").distinct().join(documents, "chunk").select("key", "document").distinct()
+
+
 def graph_stats(events: Events, edges: DataFrame) -> DataFrame:
     """(metric, value): all nodes, kept edges, cross-source products, and edges by type."""
     nodes = events.nodes.groupBy("key").agg(F.min("kind").alias("kind"), F.countDistinct("source").alias("s"))

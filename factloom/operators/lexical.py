@@ -70,19 +70,26 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex | None:
     return LexicalIndex(written.where("term IS NOT NULL").select("doc", "dl", "term", "tf"), terms, stats, written)
 
 
-_indexes: dict[tuple, LexicalIndex] = {}
-
-
-def shared_index(docs: DataFrame, doc: str, text: str = "text") -> LexicalIndex:
-    """The index of a table read from files, built once per application and version of the files."""
+def table_version(docs: DataFrame, *more: str) -> tuple:
+    """What identifies a frame read from files: application, plan, files, their sizes and times; empty without files."""
     spark = docs.sparkSession
     conf, files = spark.sparkContext._jsc.hadoopConfiguration(), []
     for f in sorted(docs.inputFiles()):
         there = spark._jvm.org.apache.hadoop.fs.Path(f)
         state = there.getFileSystem(conf).getFileStatus(there)
         files.append((f, state.getLen(), state.getModificationTime()))
-    key = (spark.sparkContext.applicationId, doc, text, tuple(files), docs._jdf.queryExecution().analyzed().canonicalized().hashCode())
-    if not files or key not in _indexes:
+    return (spark.sparkContext.applicationId, *more, tuple(files), docs._jdf.queryExecution().analyzed().canonicalized().hashCode()) if files else ()
+
+
+_indexes: dict[tuple, LexicalIndex] = {}
+
+
+def shared_index(docs: DataFrame, doc: str, text: str = "text") -> LexicalIndex:
+    """The index of a table read from files, built once per application and version of the files."""
+    key = table_version(docs, doc, text)
+    if not key:
+        return build_index(docs, doc, text)
+    if key not in _indexes:
         _indexes[key] = build_index(docs, doc, text)
     return _indexes[key]
 

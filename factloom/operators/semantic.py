@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import lexicons as L
 from factloom.functions.text import tokens
-from factloom.operators.lexical import top_k
+from factloom.operators.lexical import table_version, top_k
 from factloom.session import small, stored
 
 _BLOCK = 512
@@ -157,16 +157,44 @@ def semantic_search(index: SemanticIndex, queries: list[tuple], k: int = 10, flo
     return top_k(index.vectors.mapInPandas(score, f"query bigint, doc {kind}, score double"), k)
 
 
-def with_similarity(pairs: DataFrame, index: SemanticIndex, questions: dict, text: str = "sentence") -> DataFrame:
-    """pairs(query, text, ...) with semantic: cosine of the text and questions[query], at least 0; 0 where either has no known term."""
-    bare = replace(index, vectors=None)
-    shared = pairs.sparkSession.sparkContext.broadcast((bare, {q: v for q, t in questions.items() if (v := bare.embed(t)) is not None}))
+def embedded(questions: DataFrame, index: SemanticIndex) -> DataFrame:
+    """questions(query, text) with asked: the unit vector of each, null where no term is known."""
+    shared = questions.sparkSession.sparkContext.broadcast(replace(index, vectors=None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lsa, asked = shared.value
         for b in batches:
-            own = {t: lsa.embed(t) for t in b[text].unique()}
-            yield b.assign(semantic=[max(0.0, float(np.dot(asked[q], own[t]))) if q in asked and own[t] is not None else 0.0 for q, t in zip(b["query"], b[text])])
+            yield pd.DataFrame({"query": b["query"], "asked": [shared.value.embed(t) for t in b["text"]]})
+
+    return questions.select("query", "text").mapInPandas(run, f"query {questions.schema['query'].dataType.simpleString()}, asked array<double>")
+
+
+def with_similarity(pairs: DataFrame, index: SemanticIndex, questions: DataFrame, text: str = "sentence") -> DataFrame:
+    """pairs(query, text, ...) with semantic: cosine of the text and its question's text, at least 0; 0 where either has no known term.
+
+    questions(query, text) are embedded where they are and joined; nothing is gathered.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(replace(index, vectors=None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = {t: shared.value.embed(t) for t in b[text].unique()}
+            near = [max(0.0, float(np.dot(a, own[t]))) if a is not None and own[t] is not None else 0.0 for a, t in zip(b["asked"], b[text])]
+            yield b.drop(columns="asked").assign(semantic=near)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInPandas(run, f"{schema}, semantic double")
+    met = pairs.join(small(embedded(questions, index)), "query", "left").select(*pairs.columns, "asked")
+    return met.mapInPandas(run, f"{schema}, semantic double")
+
+
+_indexes: dict[tuple, SemanticIndex] = {}
+
+
+def shared_semantic(docs: DataFrame, doc: str, text: str = "text") -> SemanticIndex:
+    """The index of a table read from files, built once per application and version of the files."""
+    key = table_version(docs, doc, text)
+    if not key or key not in _indexes:
+        index = build_semantic(docs, doc, text)
+        if not key:
+            return index
+        _indexes[key] = index
+    return _indexes[key]

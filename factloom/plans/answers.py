@@ -12,8 +12,8 @@ from factloom.operators import evaluation as E
 from factloom.operators import graph as G
 from factloom.operators import health as H
 from factloom.operators.fusion import diagnostics, reciprocal_rank_fusion
-from factloom.operators.lexical import bm25, build_index, query_terms, shared_index, top_k, vocabulary
-from factloom.operators.semantic import build_semantic, with_similarity
+from factloom.operators.lexical import bm25, query_terms, shared_index, top_k, vocabulary
+from factloom.operators.semantic import shared_semantic, with_similarity
 from factloom.operators.semantic import semantic_search as lsa_search
 from factloom.operators.structure import document_lines
 from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _latent, _lexical
@@ -45,7 +45,7 @@ def _routed(spark, d):
     from factloom.sources.verbalise import keep_first
 
     records = keep_first(know, ["source_id"], ["loaded_at", "title", "text"])
-    hits = top_k(bm25(build_index(records, "source_id"), query_terms(_items(spark, d), "item_id", "text")), 40)
+    hits = top_k(bm25(shared_index(records, "source_id"), query_terms(_items(spark, d), "item_id", "text")), 40)
     hits = stored(hits, "routed-hits")
     used = records.join(hits.select(F.col("doc").alias("source_id")).distinct(), "source_id", "left_semi")
     joined = hits.join(used.select(F.col("source_id").alias("doc"), "record_type", "source_type"), "doc").join(_line_quality(used, "source_id").withColumnRenamed("source_id", "doc"), "doc", "left").join(items, "query")
@@ -62,7 +62,7 @@ def _chunks(spark, d):
 
 def _answers(spark, d):
     items, chunks = _items(spark, d), _chunks(spark, d)
-    hits = top_k(bm25(build_index(chunks, "chunk_id"), query_terms(items, "item_id", "text")), 20).select("query", "doc", "score")
+    hits = top_k(bm25(shared_index(chunks, "chunk_id"), query_terms(items, "item_id", "text")), 20).select("query", "doc", "score")
     asked = items.select(F.col("item_id").alias("query"), F.array_distinct(content_tokens("text")).alias("terms"), A.focus_of("text").alias("focus"), A.intent_of("text").alias("intent"))
     found = chunks.join(hits.select(F.col("doc").alias("chunk_id")).distinct(), "chunk_id", "left_semi")  # only cited chunks are split
     graded = classified(sentences(found, "chunk_id"), vocabulary(chunks))
@@ -71,9 +71,9 @@ def _answers(spark, d):
     cand = graded.where(F.length("sentence") >= 30).withColumnRenamed("chunk_id", "doc").join(hits, "doc").join(small(asked), "query").join(total, "doc").withColumn("pos", F.col("pos").cast("int"))
     cand = cand.withColumn("prior", A.evidence_prior(F.col("intent"), F.lit(None).cast("string"), F.col("source_type"), F.col("chunk_quality")))  # chunks have no record type
     cand = cand.where((F.col("prior") >= 0.12) & A.answerable("sentence", F.col("kind"), F.col("intent")))
-    index = build_semantic(chunks, "chunk_id")
+    index = shared_semantic(chunks, "chunk_id")
     if index.enabled:
-        cand = with_similarity(cand, index, {r["item_id"]: r["text"] for r in items.select("item_id", "text").collect()})  # the fixed question set
+        cand = with_similarity(cand, index, items.select(F.col("item_id").alias("query"), "text"))
     return A.select_diverse(A.sentence_relevance(cand))
 
 
@@ -243,7 +243,7 @@ _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 def semantic_search(spark, d):
     """Latent semantic run of the benchmark questions over the documents; an iterative method, so without SQL."""
-    index = build_semantic(table(spark, d, "documents"), "doc_id")
+    index = shared_semantic(table(spark, d, "documents"), "doc_id")
     found = lsa_search(index, [(r["item_id"], r["text"]) for r in _items(spark, d).select("item_id", "text").collect()])  # the fixed question set
     return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")
 

@@ -52,7 +52,7 @@ def graph_purpose(spark, d):
 def _cited(spark, d):
     """The six best chunks of each question with their documents."""
     chunks = _chunks(spark, d)
-    hits = top_k(bm25(shared_index(table(spark, d, "chunks"), "chunk_id"), query_terms(_items(spark, d), "item_id", "text")), 6)
+    hits = top_k(bm25(shared_index(_chunks(spark, d), "chunk_id"), query_terms(_items(spark, d), "item_id", "text")), 6)
     return stored(hits.join(chunks.select(F.col("chunk_id").alias("doc"), F.col("document_id").alias("document"), "text"), "doc"), "cited-chunks")
 
 
@@ -105,7 +105,7 @@ def rare_term_gate(spark, d):
 
 def cohered_hits(spark, d):
     chunks, items = _chunks(spark, d), _items(spark, d)
-    index = shared_index(table(spark, d, "chunks"), "chunk_id")
+    index = shared_index(_chunks(spark, d), "chunk_id")
     asked = query_terms(items, "item_id", "text")
     hits = top_k(bm25(index, asked), 20).join(chunks.select(
         F.col("chunk_id").alias("doc"), F.col("document_name").alias("document"), name_tokens("document_name").alias("name_tokens"), boilerplate_section("section_path").alias("furniture")), "doc")

@@ -27,6 +27,21 @@ def graph_nodes(spark, d):
     return G.graph_nodes(e, G.graph_edges(e))
 
 
+def graph_node_lists(spark, d):
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return G.node_lists(_events(spark, d)).select("key", joined("chunks"), joined("sources"))
+
+
+def graph_edge_evidence(spark, d):
+    return G.edge_evidence(_events(spark, d)).select("a", "b", "type", F.array_join("chunks", "|").alias("chunks"))
+
+
+def graph_node_documents(spark, d):
+    name = F.coalesce(F.col("metadata")["document_name"], F.col("title"))
+    docs = keep_first(table(spark, d, "knowledge_records"), ["source_id"], ["loaded_at", "title", "text"]).select(F.col("source_id").alias("chunk"), name.alias("document")).where("document IS NOT NULL")
+    return G.node_documents(_events(spark, d), docs)
+
+
 def graph_stats(spark, d):
     e = _events(spark, d)
     return G.graph_stats(e, G.graph_edges(e))
@@ -94,10 +109,14 @@ ns AS (SELECT key, kind, mentions, chunks, sources, coalesce(degree, 0) AS degre
 _EM = "m AS (SELECT DISTINCT ON (mention_id) lower(trim(canonical)) AS canonical, trim(name) AS name, kind, mention_id, chunk_id, document_id FROM entity_mentions WHERE trim(canonical) <> '')"
 
 QUERIES = {f.__name__: f for f in (
-    graph_edges, graph_nodes, graph_stats, cross_source_bridges, graph_trace_one_hop, graph_multi_hop, graph_neighbours, entity_table, entity_cooccurrence, isolated_documents)}
+    graph_edges, graph_nodes, graph_node_lists, graph_edge_evidence, graph_node_documents, graph_stats, cross_source_bridges, graph_trace_one_hop, graph_multi_hop, graph_neighbours, entity_table, entity_cooccurrence, isolated_documents)}
 SQL = {
     "graph_edges": _G + "SELECT a, b, type, weight, evidence FROM e",
     "graph_nodes": _G + "SELECT * FROM ns",
+    "graph_node_lists": _G + """, nr AS (SELECT key, source_id, row_number() OVER (PARTITION BY key ORDER BY source_id) AS r FROM (SELECT DISTINCT key, source_id FROM n)),
+nl AS (SELECT key, string_agg(source_id, '|' ORDER BY source_id) AS chunks FROM nr WHERE r <= 60 GROUP BY 1), so AS (SELECT key, string_agg(source_type, '|' ORDER BY source_type) AS sources FROM (SELECT DISTINCT key, source_type FROM n) GROUP BY 1) SELECT key, chunks, sources FROM nl JOIN so USING (key)""",
+    "graph_edge_evidence": _G + ", er AS (SELECT a, b, type, source_id, row_number() OVER (PARTITION BY a, b, type ORDER BY source_id) AS r FROM (SELECT DISTINCT a, b, type, source_id FROM e0 WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)) SELECT a, b, type, string_agg(source_id, '|' ORDER BY source_id) AS chunks FROM er WHERE r <= 12 GROUP BY ALL",
+    "graph_node_documents": _G + "SELECT DISTINCT key, dn AS document FROM n JOIN (SELECT source_id, dn FROM k WHERE dn IS NOT NULL) USING (source_id)",
     "graph_stats": _G + "SELECT 'node_count' AS metric, count(*) AS value FROM na UNION ALL SELECT 'edge_count', count(*) FROM e UNION ALL SELECT 'cross_source_products', count(*) FROM na WHERE kind = 'Product' AND sources >= 2 UNION ALL SELECT 'edges:' || type, count(*) FROM e GROUP BY type",
     "cross_source_bridges": _G + "SELECT key, mentions, degree FROM ns WHERE cross_source",
     "graph_trace_one_hop": _G + ", ac AS (SELECT key FROM na WHERE kind = 'Product' AND sources >= 2) SELECT a, b, type, CASE WHEN a NOT IN (SELECT key FROM ac) THEN a WHEN b NOT IN (SELECT key FROM ac) THEN b END AS neighbour FROM e WHERE a IN (SELECT key FROM ac) OR b IN (SELECT key FROM ac)",

@@ -9,7 +9,7 @@ from factloom.functions import lexicons as L
 from factloom.functions.text import degenerate, tokens
 from factloom.operators.fusion import diagnostics, facet_counts, faceted, reciprocal_rank_fusion
 from factloom.operators.lexical import LexicalIndex, bm25, expanded_terms, query_terms, shared_index, top_k, vocabulary
-from factloom.operators.semantic import build_semantic, semantic_search
+from factloom.operators.semantic import semantic_search, shared_semantic
 from factloom.operators.vectors import cosine_top_k
 from factloom.session import small, table
 
@@ -64,7 +64,7 @@ def _coverage(spark, d, k):
 
 def _latent(docs, asked, query, text, k):
     """Latent-semantic run of asked(query, text), a fixed question set, over the documents; empty where the index is disabled."""
-    index = build_semantic(docs, "doc_id")
+    index = shared_semantic(docs, "doc_id")
     if not index.enabled:
         return docs.sparkSession.createDataFrame([], "query bigint, doc bigint, score double, rank int")
     return semantic_search(index, [(r[0], r[1]) for r in asked.select(query, text).collect()], k)

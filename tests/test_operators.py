@@ -239,7 +239,7 @@ def test_relevance_weighs_meaning_rivals_and_evidence(spark):
     said = ["Values of renal origin rise.", "A battery is inside.", "The glucose kidney result.", "The lactate kidney result.", "A kidney predicate device."]
     rows = [(1, ["kidney"], ["glucose"], "GENERAL", i, 1.0, 0, 100, s, 0.8, 1.0) for i, s in enumerate(said)] + [(1, ["kidney"], ["glucose"], "GENERAL", 9, 1.0, 0, 100, said[2], 0.8, 0.5)]
     df = spark.createDataFrame(rows, "query int, terms array<string>, focus array<string>, intent string, doc int, score double, pos int, total int, sentence string, quality double, prior double")
-    got = {r.doc: r for r in A.sentence_relevance(with_similarity(df, index, {1: "kidney"})).collect()}
+    got = {r.doc: r for r in A.sentence_relevance(with_similarity(df, index, spark.createDataFrame([(1, "kidney")], "query int, text string"))).collect()}
     assert set(got) == {0, 2, 3, 4, 9}  # the first is kept for its meaning alone
     assert abs(got[0].relevance - (0.22 * 0.8 + 0.12 * 0.8 + 0.06)) < 1e-6
     assert abs(got[3].relevance - 0.15 * (got[2].relevance - 0.16)) < 1e-5 and abs(got[4].relevance - 0.55 * (got[2].relevance - 0.16)) < 1e-5

@@ -57,6 +57,8 @@ def test_editor_on_held_out_words():
     assert sum(e.word(k) == v for k, v in held.items()) >= 6
     assert all(e.word(w) == w for w in [*counts, "zorvath", "quibbl"])
     assert e.joins("bat", "tery") and not e.joins("lint", "free")
+    longer = Editor(counts | {"point-of-care": 700, "point": 300}).train([])
+    assert not longer.joins("point", "of-care") and not longer.joins("po!nt", "of-care")  # misread halves of a compound
 
 
 def test_channel_is_learned_from_the_corpus():

@@ -1,6 +1,6 @@
 """Noise in text from scanned pages (problem 5).
 
-Two averaged perceptrons are trained on bounded samples of the corpus itself and shipped to tasks:
+Two averaged perceptrons are trained on the whole corpus itself, tasks reducing it to distinct examples with counts, and shipped to tasks:
 
 * a line tagger that marks running headers and page numbers, from the line's shape, its place
   among its neighbours, the page the paragraph stands on and how many paragraphs of the document
@@ -15,9 +15,10 @@ size is bounded; counting it is one map-side combined aggregation.
 
 from __future__ import annotations
 
+import json
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,18 +54,26 @@ class Perceptron:
         get = self.w.get
         return sum(get(f, 0.0) for f in features)
 
-    def fit(self, examples: list[tuple[list[list[str]], int]], rounds: int = 5, seed: int = 7) -> Perceptron:
-        """examples: candidate feature lists and the index of the right one (ties go to the first)."""
+    def fit(self, examples: list[tuple[list[list[str]], int]], rounds: int = 5, seed: int = 7, times: list[int] | None = None) -> Perceptron:
+        """examples: candidate feature lists and the index of the right one (ties go to the first).
+
+        ``times`` says how often each example occurs (else once); a round shows it that often, in as many visits as the
+        number has binary digits.
+        """
         total: dict[str, float] = defaultdict(float)
         since: dict[str, int] = defaultdict(int)
-        step, order = 0, list(range(len(examples)))
+        parts = [(k, n, n.bit_length()) for k, n in enumerate(times or [1] * len(examples))]
+        step, order = 0, [(k, (n + j) // d) for k, n, d in parts for j in range(d)]
         for _ in range(rounds):
             random.Random(seed).shuffle(order)
-            for k in order:
-                step += 1
+            for k, left in order:
                 candidates, gold = examples[k]
-                best = max(range(len(candidates)), key=lambda i: (self.score(candidates[i]), -i))
-                if best != gold:
+                while left:
+                    step, left = step + 1, left - 1
+                    best = max(range(len(candidates)), key=lambda i: (self.score(candidates[i]), -i))
+                    if best == gold:  # nor do its further showings change anything
+                        step += left
+                        break
                     for i, by in ((gold, 1.0), (best, -1.0)):
                         for f in candidates[i]:
                             total[f] += (step - since[f]) * self.w.get(f, 0.0)
@@ -160,23 +169,29 @@ class Editor:
         return [*[f"op:{o}" for o in ops], *[f"kind:{k}" for k in kinds], f"n{len(ops)}", f"ratio{ratio}", f"known{had > 0}:ratio{ratio}",
                 f"ratio{ratio}:odd{odd}", f"len{min(len(word), 6)}:n{len(ops)}", f"first{ops[0][0] == word[0]}"]
 
-    def train(self, keep: list[str], words: int = 6000, seed: int = 7) -> Editor:
+    def kept(self, word: str) -> list[list[str]] | None:
+        """The example that keeps a word: its candidates' features, its own first; None where there is nothing to choose.
+
+        A rare word that is the image of a far commoner one is left out: its label is unknown.
+        """
+        c = self.candidates(word)
+        if len(c) == 1 or any(self.lexicon.get(x, 0) > 20 * (self.lexicon.get(word, 0) + 1) for x in c if x != word):
+            return None
+        return [self.features(word, x, o) for x, o in c.items()]
+
+    def train(self, keep: list[str], seen: dict[str, int] | None = None, seed: int = 7) -> Editor:
         """Learns to keep ``keep`` and lexicon words, to restore images of lexicon words, and which line ends to join.
 
-        At most ``words`` lexicon words, the most frequent, and as many of ``keep`` as given are shown.
+        ``seen`` has further examples of kept words (see ``kept``) as JSON, with their number of words.
         """
         rnd = random.Random(seed)
         back: dict[str, list[str]] = defaultdict(list)
-        for seen, true in self.channel.items():
+        for seen_as, true in self.channel.items():
             for t in true:
-                back[t].append(seen)
-        shown = sorted(self.lexicon, key=lambda w: (-self.lexicon[w], w))[:words]
-        examples = []
-        for w in [*shown, *keep]:
-            c = self.candidates(w)
-            # a rare word that is the image of a far commoner one is left out: its label is unknown
-            if len(c) > 1 and not any(self.lexicon.get(x, 0) > 20 * (self.lexicon.get(w, 0) + 1) for x in c if x != w):
-                examples.append(([self.features(w, x, o) for x, o in c.items()], list(c).index(w)))
+                back[t].append(seen_as)
+        shown = sorted(self.lexicon, key=lambda w: (-self.lexicon[w], w))
+        examples = [(x, 0) for w in [*shown, *keep] if (x := self.kept(w))]
+        counted = sorted((seen or {}).items())
         for w in shown:
             if len(w) < 3 or not w.isalpha():
                 continue
@@ -188,7 +203,7 @@ class Editor:
                 right = w if self.lexicon.get(image, 0) * 20 <= self.lexicon[w] else image
                 if right in c and len(c) > 1:
                     examples.append(([self.features(image, x, o) for x, o in c.items()], list(c).index(right)))
-        self.model.fit(examples)
+        self.model.fit([*examples, *((json.loads(x), 0) for x, _ in counted)], times=[1] * len(examples) + [n for _, n in counted])
         self._train_joins(shown, rnd)
         return self
 
@@ -366,10 +381,30 @@ class Repairer:
         return token.replace(core, new, 1)
 
 
-def corpus_lexicon(df: DataFrame, text: str = "text", share: float = 5e-6, least: int = 3, rare: int = 20_000) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of words that make up at least ``share`` of all words (at most 1 / share), and of at most ``rare`` others.
+def corpus_channel(counts: DataFrame, floor: float, ratio: int = 50, least: int = 4) -> dict[str, list[str]]:
+    """learned_channel over all words of counts(w, n): common ones from ``floor`` on, rare ones of more than three letters below."""
+    # words travel as 64-bit hashes, and only rare words as long as a common one, give or take a letter, can differ from it in one run
+    holes = F.expr("""explode(flatten(transform(filter(array(1, 2), k -> length(w) > k), k -> transform(sequence(1, length(w) - k), i ->
+        struct(xxhash64(substring(w, 1, i - 1)) AS before, xxhash64(substring(w, i + k)) AS after, substring(w, i, k) AS run)))))""")
+    of = lambda df, run: df.select(F.xxhash64("w").alias(f"{run}_w"), F.col("n").alias(f"{run}_n"), holes.alias("h")).select(f"{run}_w", f"{run}_n", "h.before", "h.after", F.col("h.run").alias(run))
+    frequent = counts.where(F.col("n") >= floor)
+    sizes = sorted({r[0] + d for r in frequent.select(F.length("w")).distinct().collect() for d in (-1, 0, 1)})
+    common = of(frequent, "true").where(F.col("true").rlike(r"^\p{L}+$"))
+    rare = of(counts.where((F.col("n") < floor) & (F.length("w") > 3) & F.length("w").isin(sizes)), "seen")
+    ends = lambda c, at: F.substring(c, at, 1)
+    found = rare.join(common, ["before", "after"]).where((F.col("true_n") >= ratio * F.col("seen_n")) & (ends("seen", 1) != ends("true", 1)) & (ends("seen", -1) != ends("true", -1)))
+    one = found.groupBy("seen_w").agg(F.min("true_w").alias("w"), F.max("true_w").alias("other"), F.collect_set(F.struct("seen", "true")).alias("x")).where("w = other")  # only one reading
+    votes = one.select("w", F.inline("x")).distinct().groupBy("seen", "true").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in sorted(votes.collect()):
+        out[r["seen"]].append(r["true"])
+    return dict(out)
 
-    Words broken at a line end count in neither half.  The rare ones are taken in hash order and serve to learn the channel.
+
+def corpus_lexicon(df: DataFrame, text: str = "text", share: float = 5e-6, least: int = 3) -> tuple[dict[str, int], dict[str, list[str]]]:
+    """Counts of words that make up at least ``share`` of all words (at most 1 / share), and the channel that all others show.
+
+    Words broken at a line end count in neither half.
     """
     # matches start at word starts only, and one-line texts are not searched
     whole = F.when(F.col(text).contains("\n"), F.regexp_replace(F.col(text), rf"(?<!\S)\S+[{BREAKS}]\s*\n\s*\S+", " ")).otherwise(F.col(text))
@@ -378,8 +413,7 @@ def corpus_lexicon(df: DataFrame, text: str = "text", share: float = 5e-6, least
     counts = stored(counts, "scan-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(least, share * total)
-    few = counts.where((F.col("n") < floor) & (F.length("w") > 3)).orderBy(F.xxhash64("w")).limit(rare)
-    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= floor).toLocalIterator()}, {r["w"]: r["n"] for r in few.collect()}
+    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= floor).toLocalIterator()}, corpus_channel(counts, floor)
 
 
 def _prepared(df: DataFrame, item: str, document: str, text: str, page: str, section: str) -> DataFrame:
@@ -398,51 +432,76 @@ def _prepared(df: DataFrame, item: str, document: str, text: str, page: str, sec
     return base.drop("doc").join(per, "item", "left")
 
 
-def train_repairer(prepared: DataFrame, lexicon: dict[str, int], rare: dict[str, int], sample: int = 4000, words: int = 6000) -> Repairer:
-    """Both models from at most ``sample`` paragraphs with and without hard line breaks, and ``words`` words to keep, in hash order."""
-    pick = lambda df: df.orderBy(F.xxhash64("item")).limit(sample)
-    plain = pick(prepared.where(~F.col("t").contains("\n")).select("item", "t"))
-    kept = plain.select(F.explode(F.split(F.lower("t"), r"\s+")).alias("w")).select(F.expr(f"trim(BOTH {_quoted(_TRIM)} FROM w)").alias("w")).where("w <> ''").distinct()
-    keep = [r["w"] for r in kept.orderBy(F.xxhash64("w")).limit(words).collect()]
-    shown = dict(sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:words])
-    editor = Editor(lexicon, learned_channel(shown, rare)).train(keep, words)
-    after: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    examples = []
-    for r in pick(prepared.where(F.col("t").contains("\n"))).collect():
-        flat = [re.sub(r"\s+", " ", x).strip() for x in r["t"].split("\n")]
-        width = max(map(len, flat))
-        for i, line in enumerate(flat):
-            number, k = _number(line, r["page"]), (r["repeats"] or {}).get(i, 0)
-            words = re.findall(r"[A-Za-z][^\s]*", line)
-            lower = sum(w[0].islower() for w in words)
-            running = bool(line) and (sentence_inside(line) or line[0].islower() or line[-1] in BREAKS)
-            if not line or number is not None or (k == 1 and lower * 2 <= len(words) and not running):
-                continue  # furniture that stands once: left for the model to decide
-            f = line_features(line, flat[i - 1] if i else "", flat[i + 1] if i + 1 < len(flat) else "", r["page"], r["head"] or "", k, number, lexicon, width)
-            examples.append(([[], f], int(k >= 2 and not running)))
-            if k >= 2 and not running and r["page"] is not None and (m := PAGE_BEHIND.search(line)):
-                seen = after[editor.word(last_word(line[: m.start()]))]
-                seen[0] += int(m.group(1)[:9]) == r["page"]
-                seen[1] += 1
-            if k >= 2 and not running:  # the same line as if it stood once
-                examples.append(([[], line_features(line, flat[i - 1] if i else "", flat[i + 1] if i + 1 < len(flat) else "", r["page"], r["head"] or "", 1, number, lexicon, width)], 1))
-    return Repairer(editor, Perceptron().fit(examples), {w: a / n for w, (a, n) in after.items() if n >= 5})
+def line_examples(text: str, page: int | None, head: str, repeats: dict[int, int], lexicon: dict[str, int]) -> Iterator[tuple[list[str], int, tuple[str, bool] | None]]:
+    """(features, whether furniture, (last word, whether the page's number follows) of a numbered header) of a text's lines."""
+    flat = [re.sub(r"\s+", " ", x).strip() for x in text.split("\n")]
+    width = max(map(len, flat))
+    for i, line in enumerate(flat):
+        number, k = _number(line, page), repeats.get(i, 0)
+        words = re.findall(r"[A-Za-z][^\s]*", line)
+        lower = sum(w[0].islower() for w in words)
+        running = bool(line) and (sentence_inside(line) or line[0].islower() or line[-1] in BREAKS)
+        if not line or number is not None or (k == 1 and lower * 2 <= len(words) and not running):
+            continue  # furniture that stands once: left for the model to decide
+        again = k >= 2 and not running
+        of = lambda n: line_features(line, flat[i - 1] if i else "", flat[i + 1] if i + 1 < len(flat) else "", page, head, n, number, lexicon, width)  # noqa: B023, E731
+        m = PAGE_BEHIND.search(line) if again and page is not None else None
+        yield of(k), int(again), (last_word(line[: m.start()]), int(m.group(1)[:9]) == page) if m else None
+        if again:  # the same line as if it stood once
+            yield of(1), 1, None
+
+
+def train_repairer(prepared: DataFrame, lexicon: dict[str, int], channel: dict[str, list[str]]) -> Repairer:
+    """Both models from all paragraphs: the editor from the words of those without hard line breaks, the tagger from the lines of the others.
+
+    Tasks turn words and lines into examples and count equal ones; only distinct examples reach the driver.
+    """
+    sc, broken = prepared.sparkSession.sparkContext, F.col("t").contains("\n")
+    editor = Editor(lexicon, channel)
+    untrained = sc.broadcast(editor)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(Counter(json.dumps(x) for w in b["w"] if (x := untrained.value.kept(w))).items(), columns=["x", "n"])
+
+    words = prepared.where(~broken).select(F.explode(F.split(F.lower("t"), r"\s+")).alias("w")).select(F.expr(f"trim(BOTH {_quoted(_TRIM)} FROM w)").alias("w")).where("w <> ''").distinct()
+    seen = words.mapInPandas(kept, "x string, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    editor.train([], {r["x"]: r["n"] for r in seen.collect()})
+    trained = sc.broadcast(editor)
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word = lru_cache(200_000)(trained.value.word)
+        for b in batches:
+            counts: Counter = Counter()
+            for t, p, h, k in zip(b["t"], b["page"], b["head"], b["repeats"]):
+                for f, gold, end in line_examples(t, None if pd.isna(p) else int(p), h or "", dict(k) if k is not None else {}, lexicon=trained.value.lexicon):
+                    counts["line", json.dumps(f), gold] += 1
+                    if end:
+                        counts["end", word(end[0]), int(end[1])] += 1
+            yield pd.DataFrame([(*x, n) for x, n in counts.items()], columns=["kind", "x", "gold", "n"])
+
+    found = prepared.where(broken).select("t", "page", "head", "repeats").mapInPandas(lines, "kind string, x string, gold int, n long")
+    found = stored(found.groupBy("kind", "x", "gold").agg(F.sum("n").alias("n")), "scan-examples")
+    counted = sorted((r["x"], r["gold"], r["n"]) for r in found.where("kind = 'line'").collect())
+    tagger = Perceptron().fit([([[], json.loads(x)], gold) for x, gold, _ in counted], times=[n for *_, n in counted])
+    ends = found.where("kind = 'end'").groupBy("x").agg((F.sum(F.col("gold") * F.col("n")) / F.sum("n")).alias("share"), F.sum("n").alias("n"))
+    return Repairer(editor, tagger, {r["x"]: r["share"] for r in ends.where("n >= 5 AND share < 0.5").collect()})  # the others are taken as 1
 
 
 def _quoted(chars: str) -> str:
     return "'" + chars.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def repaired(df: DataFrame, item: str, document: str, text: str = "text", page: str = "page", section: str = "section_path", share: float = 5e-6, sample: int = 4000, words: int = 6000) -> DataFrame:
+def repaired(df: DataFrame, item: str, document: str, text: str = "text", page: str = "page", section: str = "section_path", share: float = 5e-6) -> DataFrame:
     """(item, text, noise): each paragraph as continuous text, and the kinds of noise found in it.
 
     noise holds hyphenation, misread, running_header and page_number, sorted; hard line breaks are joined
     but are no noise.  Null texts and null ids give no row, an empty text stays empty; repeated rows give one row;
-    a null page matches no page number; empty input gives an empty result; further columns are ignored.  ``share`` bounds the lexicon,
-    ``sample`` the paragraphs and ``words`` the words the models are trained on; every text is repaired whole.
+    a null page matches no page number; empty input gives an empty result; further columns are ignored.  ``share`` bounds the lexicon;
+    the models are trained on all paragraphs, and every text is repaired whole.
     """
     prepared = stored(_prepared(df, item, document, text, page, section), "scan-paragraphs")
-    model = df.sparkSession.sparkContext.broadcast(train_repairer(prepared, *corpus_lexicon(df, text, share), sample, words))
+    model = df.sparkSession.sparkContext.broadcast(train_repairer(prepared, *corpus_lexicon(df, text, share)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value

@@ -2,6 +2,7 @@
 
 import random
 
+from factloom.llm import scans
 from factloom.llm.mixing import fit_budget, mixture, plan_mixture, subset_sum
 from factloom.llm.scans import Editor, Perceptron, learned_channel, repaired
 
@@ -73,6 +74,33 @@ def test_channel_is_learned_from_the_corpus():
     assert learned_channel({}, rare) == {} and learned_channel(common, {}) == {}
 
 
+def test_every_rare_word_teaches_the_channel(spark):
+    words = ["kestrel", "skipper", "market", "basket"]
+    noise = [f"qq{i}x" for i in range(60_000)]
+    texts = [" ".join([*words, "rocket"] * 60) for _ in range(50)] + [" ".join(noise[i: i + 2000]) for i in range(0, 60_000, 2000)] + [" ".join(w.replace("k", "#", 1) for w in words), "one more roc#et here"]
+    df = spark.createDataFrame([(i, i, t, 1, None) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.pid: r.text for r in repaired(df, "pid", "doc").collect()}[len(texts) - 1] == "one more rocket here"
+
+
+def test_channel_against_the_plain_form(spark):
+    rnd = random.Random(3)
+    common = {"".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 9))): rnd.choice([100, 900, 4000]) for _ in range(300)}
+    cut = [(w, rnd.randrange(len(w)), rnd.randrange(3)) for w in common for _ in range(12)]
+    rare = {w[:i] + rnd.choice(["#", "1c", "d", "fa", ""]) + w[i + n:]: rnd.choice([1, 10, 30]) for w, i, n in cut}
+    rare = {w: n for w, n in rare.items() if len(w) > 3}
+    rare = {w: n for w, n in rare.items() if w not in common}
+    df = spark.createDataFrame([*common.items(), *rare.items()], "w string, n long")
+    want = learned_channel(common, rare)
+    assert want and {k: sorted(v) for k, v in scans.corpus_channel(df, 100).items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_counted_examples_weigh_as_often_as_they_occur():
+    ex = [([["a", "x"], ["b"]], 1), ([["a"], ["b", "x"]], 0), ([["c"], ["a"]], 0)]
+    assert Perceptron().fit(ex, times=[1, 1, 1]).w == Perceptron().fit(ex).w
+    m = Perceptron().fit([([[], ["h"]], 1), ([[], ["h"]], 0)], times=[1000, 3])
+    assert m.score(["h"]) > 0 > Perceptron().fit([([[], ["h"]], 1), ([[], ["h", "i"]], 0)], times=[3, 1000]).score(["h", "i"])
+
+
 def test_long_words_are_searched_to_their_end():
     long = "electroencephalographically-microspectrophotometrically"
     e = Editor({long: 500, "the": 900}, {})

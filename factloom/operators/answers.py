@@ -18,11 +18,9 @@ def intent_of(question: Column | str) -> Column:
     """Name of the intent with most cues found; ties go to the one declared first, none is GENERAL."""
     q = F.col(question) if isinstance(question, str) else question
     hits = lambda c: q.rlike(L.cue(c)).cast("int")
-    scored = [(name, sum((hits(c) for c in cues[1:]), hits(cues[0]))) for name, cues, *_ in L.INTENTS]
-    best, name = F.lit(0), F.lit(L.GENERAL[0])
-    for n, s in scored:
-        name, best = F.when(s > best, n).otherwise(name), F.greatest(best, s)
-    return F.coalesce(name, F.lit(L.GENERAL[0]))
+    scored = [F.struct(sum((hits(c) for c in cues[1:]), hits(cues[0])).alias("hits"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, cues, *_) in enumerate(L.INTENTS)]
+    none = F.struct(F.lit(0).alias("hits"), F.lit(1).alias("place"), F.lit(L.GENERAL[0]).alias("name"))
+    return F.array_max(F.array(none, *scored))["name"]  # each cue stands once
 
 
 def focus_of(question: Column | str, terms: list[str] = L.FOCUS_TERMS) -> Column:
@@ -216,17 +214,20 @@ def sentence_relevance(candidates: DataFrame) -> DataFrame:
     present = F.filter(F.array(*map(F.lit, L.RIVALS)), lambda r: F.lower("sentence").contains(r))
     rival = (F.size(asked) > 0) & (F.size(present) > 0) & ~F.exists(present, lambda p: F.exists(asked, lambda a: a.contains(p) | p.contains(a)))
     own = F.array_distinct(tokens("sentence"))
-    cover = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", own)) / F.size("terms")).otherwise(0.0)
     cue = F.lit(0.0)
     for name, _, cues, *_ in L.INTENTS:
         best = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(F.col("sentence").rlike(L.cue(p)), w).otherwise(0.0) for p, w in cues])
         cue = F.when(F.col("intent") == name, best).otherwise(cue)
+    candidates = candidates.withColumn("own", own)
+    own = F.col("own")
+    cover = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", own)) / F.size("terms")).otherwise(0.0)
+    candidates = candidates.withColumns({"cover": cover, "cue": cue, "weighed": F.when(meta, 0.55).otherwise(1.0) * F.when(rival, 0.15).otherwise(1.0)})
+    cover, cue, weighed = F.col("cover"), F.col("cue"), F.col("weighed")
     focus = F.when(F.size("focus") > 0, F.size(F.array_intersect("focus", own)) / F.size("focus")).otherwise(0.5)
     place = 1 - F.least(F.lit(1.0), F.col("pos") / F.greatest("total", F.lit(1))) * 0.35
-    weighed = F.when(meta, 0.55).otherwise(1.0) * F.when(rival, 0.15).otherwise(1.0)
     relevance = weighed * (0.26 * cover + 0.22 * semantic + 0.18 * cue * F.when(meta, 0.25).otherwise(1.0) + 0.16 * focus + 0.12 * F.col("quality") + 0.06 * place)
     final = relevance * prior * (0.85 + 0.15 * F.least(F.lit(1.0), 8 * F.col("score") / F.greatest(F.max("score").over(W.partitionBy("query")), F.lit(1e-9)) / 8))
-    return candidates.where((cover > 0) | (cue > 0) | (semantic >= 0.2)).select("query", "doc", "pos", "sentence", own.alias("own"), F.round(relevance, 6).alias("relevance"), F.round(final, 6).alias("final"))
+    return candidates.where((cover > 0) | (cue > 0) | (semantic >= 0.2)).select("query", "doc", "pos", "sentence", "own", F.round(relevance, 6).alias("relevance"), F.round(final, 6).alias("final"))
 
 
 def answerable(sentence: Column | str, kind: Column, intent: Column) -> Column:

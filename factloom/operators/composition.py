@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +38,11 @@ MARKERS = {
 GENERIC = ["meter", "analyzer", "analyser", "strip", "cartridge"]
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an expression that stands once in the plan, however often it is named."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def clean_sentence(c: Column | str) -> Column:
     """A sentence without section numbers, headings and document titles before it, evenly spaced and capitalised."""
     t = F.regexp_replace(F.trim(c), FUSED, "")
@@ -43,12 +50,10 @@ def clean_sentence(c: Column | str) -> Column:
         for pattern in (NUMBERED, HEADED, ECHOED):
             t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, r"(?i)^(\w+)\s+\1\b", "$1")
-    stripped = F.regexp_replace(t, TITLED, "")
-    t = F.when(F.size(F.split(F.trim(stripped), r"\s+")) >= 5, stripped).otherwise(t)
+    t = _once(t, lambda t: _once(F.regexp_replace(t, TITLED, ""), lambda cut: F.when(F.size(F.split(F.trim(cut), r"\s+")) >= 5, cut).otherwise(t)))
     for pattern, by in ((r"\s{2,}", " "), (r"\s+([,.;:%)])", "$1"), (r"\(\s+", "(")):
         t = F.regexp_replace(t, pattern, by)
-    t = F.trim(t)
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
+    return _once(F.trim(t), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))))
 
 
 def decapitalised(c: Column | str, names: str = r"^(?:[A-Z]{2,}|K\d{6}\b)") -> Column:
@@ -88,7 +93,7 @@ def opener(intent: Column, focus: Column, documents: Column) -> Column:
         before, _, rest = form.partition("{")
         default, _, after = rest.partition("}")
         said = F.concat(F.lit(before), F.coalesce(subject, F.lit(default)), F.lit(after)) if rest else F.lit(before)
-        line = F.when((intent == name) | (F.lit(name == "GENERAL") & line.isNull()), said).otherwise(line)
+        line = F.coalesce(line, said) if name == "GENERAL" else F.when(intent == name, said).otherwise(line)  # each line stands once in the next
     scope = F.when(documents > 1, F.concat(F.lit(" — drawn from "), documents.cast("string"), F.lit(" documents"))).otherwise("")
     return F.concat(line, scope, F.lit(":"))
 
@@ -111,9 +116,9 @@ def marked(picks: DataFrame) -> DataFrame:
 
 
 def reading_order(picks: DataFrame) -> DataFrame:
-    """Picks renumbered: the document of the strongest sentence first, then by position."""
+    """Picks renumbered: the document of the strongest sentence first, then by position and chunk."""
     best = F.max("final").over(W.partitionBy("query", "document"))
-    return picks.withColumn("best", best).withColumn("pick", F.row_number().over(W.partitionBy("query").orderBy(F.desc("best"), "document", "position"))).drop("best")
+    return picks.withColumn("best", best).withColumn("pick", F.row_number().over(W.partitionBy("query").orderBy(F.desc("best"), "document", "position", "chunk"))).drop("best")
 
 
 def closing(percent: Column, consensus: Column, coverage: Column, rejected: Column) -> Column:
@@ -141,7 +146,7 @@ def composed_reply(picks: DataFrame, questions: DataFrame) -> DataFrame:
     """
     first = F.min("pick").over(W.partitionBy("query", "chunk"))
     numbered = marked(picks).withColumn("first", first).withColumn("n", F.dense_rank().over(W.partitionBy("query").orderBy("first")))
-    said = clean_sentence("sentence")
+    numbered, said = numbered.withColumn("said", clean_sentence("sentence")), F.col("said")
     line = F.concat(F.when(F.col("marker").isNull(), said).otherwise(F.concat_ws(" ", "marker", decapitalised(said))), F.lit(" ["), F.col("n").cast("string"), F.lit("]"))
     whole = numbered.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", line.alias("l")))), lambda x: x["l"]), " ").alias("body"), F.countDistinct("document").alias("documents"))  # a few picks
     return whole.join(questions, "query").select("query", opener(F.col("intent"), F.col("focus"), F.col("documents")).alias("opener"), "body", "documents")

@@ -12,6 +12,7 @@ from factloom.operators import evaluation as E
 from factloom.operators import extraction as N
 from factloom.operators import health as H
 from factloom.operators import lineage as X
+from factloom.operators.direct import once
 from factloom.operators.fusion import explained
 from factloom.operators.lexical import bm25, query_terms, shared_index, top_k
 from factloom.operators.structure import dated, document_lines
@@ -19,7 +20,7 @@ from factloom.plans.answers import _EV, _MEAN, _answers, _chunks, _items, _line_
 from factloom.plans.retrieval import _BM, _FUSE, _IDX, _TOK, _coverage, _index, _lexical
 from factloom.plans.structure import SQL as STRUCTURE_SQL
 from factloom.plans.structure import line_grades
-from factloom.session import stored, table
+from factloom.session import small, stored, table
 from factloom.sources.connectors import file_doc_type, file_k_number, file_product
 from factloom.sources.verbalise import severity_signal
 
@@ -168,9 +169,11 @@ def clean_sentences(spark, d):
 
 def composed_replies(spark, d):
     """Picked sentences in reading order with markers and source numbers, an opener above and a closing below."""
-    picks = _answers(spark, d).join(_chunks(spark, d).select(F.col("chunk_id").alias("doc"), F.col("document_id").alias("document")), "doc")
+    picks = stored(_answers(spark, d), "reply-sentences")
+    cited = once(table(spark, d, "chunks"), "chunk_id").select(F.col("chunk_id").alias("doc"), F.col("document_id").alias("document")).join(small(picks.select("doc").distinct()), "doc", "left_semi")
+    picks = picks.join(cited, "doc")
     placed = stored(C.reading_order(picks.withColumnsRenamed({"doc": "chunk", "pos": "position"})), "reply-picks")
-    questions = _items(spark, d).select(F.col("item_id").alias("query"), A.intent_of("text").alias("intent"), A.focus_of("text").alias("focus"))
+    questions = stored(_items(spark, d).select(F.col("item_id").alias("query"), A.intent_of("text").alias("intent"), A.focus_of("text").alias("focus")), "reply-questions")
     rows, signals = _signals(spark, d)
     percent, _ = A.confidence(signals, F.col("sources") == 0)
     last = rows.select("query", C.closing(percent, signals["consensus"], signals["coverage"], F.lit(0)).alias("closing"))
